@@ -62,7 +62,7 @@ def ensure_bindings(flat: DataFrame, wanted: DataFrame) -> DataFrame:
 def missing_role(policies: DataFrame, flat: DataFrame,
                  role: str = WORKLOAD_IDENTITY_ROLE) -> DataFrame:
     """Resources that have a policy but no binding of ``role``."""
-    have = flat.filter(F.col("role") == role).select("resource")
+    have = flat.filter(F.col("role") == role).select("resource").distinct()
     return policies.select("resource").distinct().join(have, "resource", "left_anti")
 
 

@@ -1,0 +1,170 @@
+"""Grants, policies, probes and audit filters."""
+
+import itertools
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from transcript_lake.operators import audit as AU
+from transcript_lake.operators import grants as GR
+from transcript_lake.operators import policies as PO
+from transcript_lake.sources.schemas import PROBE_COLUMNS
+
+WIU = PO.WORKLOAD_IDENTITY_ROLE
+
+
+def _access(spark, rows):
+    return spark.createDataFrame(rows, "list string, email string")
+
+
+def test_normalize_keeps_account_prefix(spark):
+    got = {r.email: r.member for r in GR.normalize_principals(
+        _access(spark, [("owner", "a@x.com"), ("reader", "serviceAccount:s@x.com")])).collect()}
+    assert got == {"a@x.com": "user:a@x.com", "serviceAccount:s@x.com": "serviceAccount:s@x.com"}
+
+
+def test_expand_grants_settings(spark):
+    acc = _access(spark, [("owner", "o@x.com"), ("writer", "w@x.com"), ("reader", "r@x.com")])
+    s = GR.AccessSettings(ml_team_group="ml@x.com", analysts_group="", ml_pipeline_sa="sa@p.iam")
+    got = sorted(tuple(r) for r in GR.expand_grants(acc, s).collect())
+    assert got == sorted([
+        (GR.OWNER_ROLE, "user:o@x.com"), (GR.EDITOR_ROLE, "user:w@x.com"),
+        (GR.VIEWER_ROLE, "user:r@x.com"), (GR.EDITOR_ROLE, "group:ml@x.com"),
+        (GR.EDITOR_ROLE, "serviceAccount:sa@p.iam")])
+    none = GR.expand_grants(acc, GR.AccessSettings()).count()
+    assert none == 3
+
+
+def test_all_users_dedupes(spark):
+    acc = _access(spark, [("owner", "a@x.com"), ("reader", "a@x.com"), ("writer", "b@x.com")])
+    assert sorted(r.email for r in GR.all_users(acc).collect()) == ["a@x.com", "b@x.com"]
+    lv = GR.log_viewers(acc).collect()
+    assert len(lv) == 4 and {r.role for r in lv} == set(GR.LOG_ROLES)
+
+
+def test_grant_summary_rows(spark):
+    acc = _access(spark, [("owner", "a@x.com"), ("owner", "a@x.com"), ("reader", "b@x.com")])
+    s = GR.AccessSettings(ml_team_group="ml@x.com", ml_pipeline_sa="sa@p.iam")
+    got = sorted(tuple(r) for r in GR.grant_summary(acc, s).collect())
+    assert got == [("data_editors", "sa@p.iam"), ("data_owners", "a@x.com"),
+                   ("data_viewers", "b@x.com"), ("editor_groups", "ml@x.com")]
+
+
+def test_invalid_members(spark):
+    df = spark.createDataFrame([("bob@x.com",), ("user:bob@x.com",), ("group:g@x.com",),
+                                ("serviceAccount:s@x",), (None,)], "member string")
+    assert sorted(str(r.member) for r in GR.invalid_members(df).collect()) == ["None", "bob@x.com"]
+
+
+def _policies(spark, docs):
+    return spark.createDataFrame([(r, json.dumps(d)) for r, d in docs], "resource string, policy string")
+
+
+POL = [("sa1", {"bindings": [
+    {"role": WIU, "members": ["principalSet://pool/attribute.repository/org/repo-a",
+                              "principalSet://pool/attribute.repository/org/old"]},
+    {"role": "roles/viewer", "members": ["user:a@x.com", "group:g@x.com"]}]}),
+    ("sa2", {"bindings": [{"role": "roles/viewer", "members": ["user:b@x.com"]}]})]
+
+
+def test_flatten_and_search(spark):
+    pol = _policies(spark, POL)
+    flat = PO.flatten_policy(pol)
+    assert flat.count() == 5
+    assert PO.members_with_role(flat).count() == 2
+    assert [r.resource for r in PO.missing_role(pol, flat).collect()] == ["sa2"]
+    assert [r.resource for r in PO.policy_has_member(pol, "group:").collect()] == ["sa1"]
+
+
+def test_remove_and_ensure(spark):
+    flat = PO.flatten_policy(_policies(spark, POL))
+    stale = spark.createDataFrame([("sa1", WIU, "principalSet://pool/attribute.repository/org/old"),
+                                   ("sa2", WIU, "nobody")], "resource string, role string, member string")
+    assert PO.stale_bindings(flat, stale).count() == 1
+    assert PO.remove_bindings(flat, stale).count() == 4
+    once = PO.ensure_bindings(flat, stale)
+    twice = PO.ensure_bindings(once, stale)
+    assert once.count() == 6 and sorted(once.collect()) == sorted(twice.collect())
+
+
+def test_repo_mismatch(spark):
+    flat = PO.flatten_policy(_policies(spark, POL))
+    prov = spark.createDataFrame([("sa1", "assertion.repository == \"org/repo-a\""), ("sa2", "")],
+                                 "resource string, condition string")
+    rows = PO.repo_mismatch(flat, prov).collect()
+    assert [(r.bound_repo, r.configured_repo, r.hyphen_warning) for r in rows] == [("org/old", "org/repo-a", True)]
+    empty = spark.createDataFrame([("sa1", "")], "resource string, condition string")
+    assert PO.repo_mismatch(flat, empty).count() == 0
+
+
+def _probe_df(spark, rows):
+    schema = "identity string, " + ", ".join(f"{c} boolean" for c in PROBE_COLUMNS)
+    return spark.createDataFrame(rows, schema)
+
+
+def _rule(update, delete, write, create, read):
+    if update and delete:
+        return "OWNER"
+    if write and create:
+        return "WRITER"
+    return "READER" if read else "NONE"
+
+
+def test_access_level_all_combinations(spark):
+    rows, want = [], {}
+    for i, (u, d, w, c, r) in enumerate(itertools.product([False, True], repeat=5)):
+        bits = dict(dataset_exists=True, can_list_tables=True, can_get_dataset=True,
+                    can_create_table=c, can_read_data=r, can_write_data=w,
+                    can_delete_data=d, can_update_dataset=u)
+        rows.append(tuple([f"id{i}"] + [bits[k] for k in PROBE_COLUMNS]))
+        want[f"id{i}"] = _rule(u, d, w, c, r)
+    got = {r.identity: r.access_level for r in AU.access_level(_probe_df(spark, rows)).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("persona,probes,level", [
+    ("outsider", dict(), "NONE"),
+    ("reader", dict(can_read_data=True), "READER"),
+    ("writer", dict(can_read_data=True, can_write_data=True, can_create_table=True, can_delete_data=True), "WRITER"),
+    ("pipeline account", dict(can_read_data=True, can_write_data=True, can_create_table=True), "WRITER"),
+    ("owner", dict(can_read_data=True, can_delete_data=True, can_update_dataset=True), "OWNER"),
+])
+def test_personas(spark, persona, probes, level):
+    row = tuple([persona] + [probes.get(k, False) for k in PROBE_COLUMNS])
+    assert AU.access_level(_probe_df(spark, [row])).collect()[0].access_level == level
+
+
+def test_probe_report_labels(spark):
+    row = tuple(["me"] + [True] * len(PROBE_COLUMNS))
+    labels = [r.permission for r in AU.probe_report(_probe_df(spark, [row])).collect()]
+    assert labels[0] == "Dataset Exists" and labels[-1] == "Can Update Dataset"
+    assert len(labels) == 8
+
+
+def _audit(spark):
+    def entry(i, method, target, caller):
+        e = {"insertId": str(i), "timestamp": f"2024-01-01 00:0{i}:00.123456",
+             "protoPayload": {"methodName": method, "request": {"name": target}}}
+        if caller:
+            e["protoPayload"]["authenticationInfo"] = {"principalEmail": caller}
+        return (json.dumps(e),)
+    rows = [entry(0, "GenerateAccessToken", "projects/-/serviceAccounts/sa.1@p", "ok@x.com"),
+            entry(1, "GenerateAccessToken", "projects/-/serviceAccounts/sa11@p", "eve@x.com"),
+            entry(2, "GenerateIdToken", "projects/-/serviceAccounts/sa.1@p", "ok@x.com"),
+            entry(3, "GenerateAccessToken", "projects/-/serviceAccounts/sa.1@p", None),
+            entry(4, "Other", "x", "ok@x.com")]
+    return AU.parse_audit(spark.createDataFrame(rows, "entry string"))
+
+
+def test_audit_parse_and_filters(spark):
+    a = _audit(spark)
+    r0 = a.filter("insert_id = '3'").collect()[0]
+    assert r0.caller is None and r0.ts.microsecond == 123456
+    assert AU.audit_methods(a).count() == 4
+    # "sa.1" is literal text: the dot does not match "sa11"
+    assert [r.insert_id for r in AU.audit_for_target(a, "sa.1").collect()] == ["0", "3"]
+    assert sorted(r.insert_id for r in AU.audit_unexpected(a, "ok@x.com").collect()) == ["1", "3"]
+    assert [r.insert_id for r in AU.audit_by_caller(a, "ok@x.com", 50).collect()] == ["0"]
+    counts = AU.suspicious_counts(a, "ok@x.com", "1 minute").collect()
+    assert sum(r.suspicious_count for r in counts) == 2

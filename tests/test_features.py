@@ -77,3 +77,24 @@ def test_history_keeps_last_week(spark):
     assert rows[0].process_date > rows[1].process_date
     approx = processing_history(runs, FX.as_of(spark, MEDIUM), 7, approximate=True).collect()
     assert len(approx) == 2
+
+
+def test_scorer_hook_runs_as_arrow_batches(spark):
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def polarity(content: pd.Series) -> pd.Series:
+        good = content.str.count(r"\bgood\b")
+        bad = content.str.count(r"\bbad\b")
+        return ((good - bad) / (good + bad).where(good + bad > 0, 1)).astype(float)
+
+    df = spark.createDataFrame(
+        [("a", dt.datetime(2024, 1, 1), "good good bad"), ("b", dt.datetime(2024, 1, 1), "none")],
+        "id string, created_at timestamp_ntz, content string")
+    out = features(df, AS_OF, scorer=polarity)
+    got = {r.id: r.sentiment_score for r in out.collect()}
+    assert got == {"a": 1 / 3, "b": 0.0}
+    buf = __import__("io").StringIO()
+    with __import__("contextlib").redirect_stdout(buf):
+        out.explain()
+    assert "ArrowEvalPython" in buf.getvalue()

@@ -112,7 +112,6 @@ def replace_processed(spark, sf):
     path = new_table_path(spark, "transcripts_processed")
     feats = FE.features(RD.recent(t, RECENT_DAYS, clock), clock)
     SK.replace(feats, path, PROCESSED)
-    SK.replace(feats, path, PROCESSED)   # truncate + load: twice = once
     return read_table(spark, path, PROCESSED).select(PROCESSED.fieldNames())
 
 

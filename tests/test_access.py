@@ -75,6 +75,7 @@ def test_flatten_and_search(spark):
     assert PO.members_with_role(flat).count() == 2
     assert [r.resource for r in PO.missing_role(pol, flat).collect()] == ["sa2"]
     assert [r.resource for r in PO.policy_has_member(pol, "group:").collect()] == ["sa1"]
+    assert [r.member for r in PO.members_like(flat, "user:b").collect()] == ["user:b@x.com"]
 
 
 def test_remove_and_ensure(spark):

@@ -34,6 +34,11 @@ def members_with_role(flat: DataFrame, role: str = WORKLOAD_IDENTITY_ROLE) -> Da
     return flat.filter(F.col("role") == role).select("resource", "member")
 
 
+def members_like(flat: DataFrame, prefix: str) -> DataFrame:
+    """Flattened bindings whose member starts with ``prefix``."""
+    return flat.filter(F.col("member").startswith(prefix))
+
+
 def policy_has_member(policies: DataFrame, prefix: str) -> DataFrame:
     """Resources whose policy names a member starting with ``prefix``,
     tested on the nested document without flattening it."""

@@ -89,8 +89,8 @@ def access_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "customer").select(F.inline(entries))
 
 
-def policy_flat(spark: SparkSession, sf_dir: str, with_part: bool = False) -> DataFrame:
-    """Distinct (resource, role, member) bindings, one resource per nation."""
+def _policy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(resource, role, member, part) per customer, before de-duplication."""
     k, n = F.col("c_custkey"), F.col("c_nationkey")
     kind = k % 4
     ks = k.cast("string")
@@ -104,23 +104,29 @@ def policy_flat(spark: SparkSession, sf_dir: str, with_part: bool = False) -> Da
     # Customer-named members stay in their customer's part; the few
     # workload-identity members (3 per resource) form part -1.
     part = F.when(kind == 3, F.lit(-1)).otherwise(F.floor(k / POLICY_PART_SIZE))
-    rows = (_t(spark, sf_dir, "customer")
+    return (_t(spark, sf_dir, "customer")
             .filter(~((kind == 3) & (n % 5 == 0)))
             .select(F.concat(F.lit("p"), n.cast("string")).alias("resource"),
-                    role.alias("role"), member.alias("member"), part.alias("part"))
-            .distinct())
-    return rows if with_part else rows.select("resource", "role", "member")
+                    role.alias("role"), member.alias("member"), part.alias("part")))
+
+
+def policy_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (resource, role, member) bindings, one resource per nation."""
+    return _policy_rows(spark, sf_dir).select("resource", "role", "member").distinct()
 
 
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(resource, policy JSON). Each part of a resource's bindings is one
-    document, so no document grows with the data."""
-    flat = policy_flat(spark, sf_dir, with_part=True)
-    per_role = (flat.groupBy("resource", "part", "role")
-                .agg(F.array_sort(F.collect_list("member")).alias("members")))
-    return (per_role.groupBy("resource", "part")
-            .agg(F.array_sort(F.collect_list(F.struct("role", "members"))).alias("bindings"))
-            .select("resource", F.to_json(F.struct("bindings")).alias("policy")))
+    document, so no document grows with the data. One aggregation: the
+    distinct (role, member) pairs of a part are grouped by role in-row."""
+    pairs = (_policy_rows(spark, sf_dir)
+             .groupBy("resource", "part")
+             .agg(F.array_sort(F.collect_set(F.struct("role", "member"))).alias("pairs")))
+    roles = F.array_distinct(F.transform("pairs", lambda p: p["role"]))
+    bindings = F.transform(roles, lambda r: F.struct(
+        r.alias("role"),
+        F.transform(F.filter("pairs", lambda p: p["role"] == r), lambda p: p["member"]).alias("members")))
+    return pairs.select("resource", F.to_json(F.struct(bindings.alias("bindings"))).alias("policy"))
 
 
 def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +139,7 @@ def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stale_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (policy_flat(spark, sf_dir).filter(F.col("member").like("%repo-2")).distinct())
+    return policy_flat(spark, sf_dir).filter(F.col("member").like("%repo-2"))
 
 
 def wanted_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:

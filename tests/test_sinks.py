@@ -146,3 +146,15 @@ def test_required_flags():
     from transcript_lake.sources.schemas import required_fields
     assert required_fields(TRANSCRIPTS) == ["id", "created_at", "content"]
     assert required_fields(PROCESSED) == ["id", "created_at", "content"]
+
+
+def test_named_table_append_replace_delete(spark, tmp):
+    name = "tl_named_" + os.path.basename(tmp).replace("-", "_")
+    SK.append(_df(spark, 6), name)
+    SK.append(_df(spark, 4, start=6), name)
+    assert spark.table(name).count() == 10
+    kept = SK.delete_from(spark, name, F.col("id").isin("t0", "t9"))
+    assert kept.count() == 8
+    SK.replace(spark.table(name).filter(F.col("id") != "t1").select(TRANSCRIPTS.fieldNames()),
+               name, TRANSCRIPTS)
+    assert _ids(spark.table(name)) == sorted(f"t{i}" for i in range(2, 9))

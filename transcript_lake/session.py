@@ -57,6 +57,10 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = spark.conf.get(_SHARED_CONF, None) or sc.getConf().get(_SHARED_CONF, None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "set spark.checkpoint.dir to a folder on shared storage: written tables "
+                "and checkpoints must be visible to every executor")
         app = sc.applicationId
         base = _LOCAL_BASE.get(app)
         if base is None:

@@ -66,10 +66,19 @@ def validate(raw: DataFrame, schema: T.StructType = TRANSCRIPTS) -> tuple[DataFr
     return good, bad
 
 
-def append(df: DataFrame, path: str, schema: T.StructType = TRANSCRIPTS) -> None:
-    """Add rows to a table and keep the old ones (K1)."""
+def _is_path(where: str) -> bool:
+    return "/" in where
+
+
+def append(df: DataFrame, where: str, schema: T.StructType = TRANSCRIPTS) -> None:
+    """Add rows to a table (path or catalog name) and keep the old ones (K1)."""
     out, parts = _with_partition(conform(df, schema))
-    out.write.mode("append").partitionBy(*parts).parquet(path)
+    if _is_path(where):
+        out.write.mode("append").partitionBy(*parts).parquet(where)
+    elif df.sparkSession.catalog.tableExists(where):
+        out.write.insertInto(where)
+    else:
+        out.write.mode("append").partitionBy(*parts).saveAsTable(where)
 
 
 def checked_append(raw: DataFrame, path: str, schema: T.StructType = TRANSCRIPTS,
@@ -105,19 +114,28 @@ def _cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def replace(df: DataFrame, path: str, schema: T.StructType,
+def replace(df: DataFrame, where: str, schema: T.StructType,
             reads_target: bool | None = None) -> None:
-    """Truncate and load with the declared schema (K2).
+    """Truncate and load with the declared schema (K2); ``where`` is a path
+    or a catalog table name.
 
-    ``reads_target``: whether ``df`` is computed from ``path`` itself; when
+    ``reads_target``: whether ``df`` is computed from the target itself; when
     ``None`` it is found from the plan's input files.
     """
     out, parts = _with_partition(conform(df, schema))
+    spark = df.sparkSession
+    if _is_path(where):
+        location = where
+    else:
+        location = _table_location(spark, where) if spark.catalog.tableExists(where) else None
     if reads_target is None:
-        reads_target = _reads(df, path)
+        reads_target = bool(location) and _reads(df, location)
     if reads_target:
         out = _cut_lineage(out)
-    out.write.mode("overwrite").partitionBy(*parts).parquet(path)
+    if _is_path(where):
+        out.write.mode("overwrite").partitionBy(*parts).parquet(where)
+    else:
+        out.write.mode("overwrite").partitionBy(*parts).saveAsTable(where)
 
 
 def _table_location(spark: SparkSession, name: str) -> str | None:
@@ -145,12 +163,12 @@ def delete_where(df: DataFrame, pred: Column) -> DataFrame:
     return df.filter(~F.coalesce(pred, F.lit(False)))
 
 
-def delete_from(spark: SparkSession, path: str, pred: Column,
+def delete_from(spark: SparkSession, where: str, pred: Column,
                 schema: T.StructType = TRANSCRIPTS) -> DataFrame:
-    """Apply K5 to a stored table and return the table as it is now."""
-    kept = delete_where(read_table(spark, path, schema), pred)
-    replace(kept.select([f.name for f in schema.fields]), path, schema, reads_target=True)
-    return read_table(spark, path, schema)
+    """Apply K5 to a stored table (path or name); return the table as it is now."""
+    kept = delete_where(read_table(spark, where, schema), pred)
+    replace(kept.select([f.name for f in schema.fields]), where, schema, reads_target=True)
+    return read_table(spark, where, schema)
 
 
 def expire(df: DataFrame, ttl_ms: int | None, as_of=None, ts: str = "created_at") -> DataFrame:

@@ -34,3 +34,19 @@ def suspicious_stream(spark: SparkSession, source_dir: str, expected: str,
             .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                     F.col("w.end").cast("timestamp_ntz").alias("window_end"),
                     "suspicious_count"))
+
+
+def start_suspicious(spark: SparkSession, source_dir: str, sink_path: str, checkpoint: str,
+                     expected: str, window: str = "1 minute", watermark: str = "10 minutes",
+                     available_now: bool = False, processing_time: str | None = None):
+    """Run the counter into Parquet files (append mode: a window is written
+    once, when the watermark closes it). ``checkpoint`` must be on shared
+    storage; the file sink and the state store make the output exactly-once."""
+    counts = suspicious_stream(spark, source_dir, expected, window, watermark)
+    writer = (counts.writeStream.outputMode("append").format("parquet")
+              .option("path", sink_path).option("checkpointLocation", checkpoint))
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    elif processing_time:
+        writer = writer.trigger(processingTime=processing_time)
+    return writer.start()

@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # IAM member kinds a grant may name.
-MEMBER_PREFIXES = ["user:", "group:", "serviceAccount:"]
 VALID_MEMBER_PATTERN = r"^(user:|group:|serviceAccount:)"
 # Repository named by a workload-identity member.
 MEMBER_REPO_PATTERN = r".*attribute\.repository/([^\"]*)"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.time import as_of_col, days, ts_text
+from ..functions.time import as_of_col, ts_text
 from .schemas import PARTITION_COLUMN, TRANSCRIPTS
 
 # The five rows a pipeline run uses when its window is empty.
@@ -79,7 +79,3 @@ def literal_row(spark: SparkSession, id_: str, content: str, as_of=None) -> Data
     """``INSERT ... VALUES (id, CURRENT_DATETIME(), content)`` as a DataFrame."""
     return (spark.createDataFrame([(id_, content)], "id string, content string")
             .select("id", as_of_col(as_of).alias("created_at"), "content"))
-
-
-def days_ago(as_of, n: int):
-    return as_of_col(as_of) - days(n)

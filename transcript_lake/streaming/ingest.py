@@ -1,31 +1,45 @@
-"""Row-wise ingest of uploads into the transcripts table.
+"""Row-wise ingest of uploads into a transcripts landing table.
 
 Files of raw rows (all text) arrive in a folder; each micro-batch is
-validated once, good rows are appended to the table and bad rows, with their
-messages, to an error table. A stream cannot refuse "the whole upload", so
-rows are routed one by one (the insert API's skip-invalid mode).
-
-Delivery: foreachBatch is at-least-once. If a batch is retried after a
-failure between its two writes, its rows may be appended again; ids let a
-reader de-duplicate.
+validated once, good rows go to the table and bad rows, with their messages,
+to an error table. A stream cannot refuse "the whole upload", so rows are
+routed one by one (the insert API's skip-invalid mode).
+
+Exactly-once: every micro-batch writes its own ``ingest_batch=<id>``
+partition with dynamic partition overwrite. A batch replayed after a failure
+replaces its own output instead of adding it twice. The landing table is
+therefore partitioned by (created_date, ingest_batch) and is written only by
+this stream; readers get the extra ``ingest_batch`` column and select what
+they need.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.schemas import RAW_TRANSCRIPTS, TRANSCRIPTS
-from ..sources.sinks import append, validate
+from ..sources.schemas import PARTITION_COLUMN, RAW_TRANSCRIPTS, TRANSCRIPTS
+from ..sources.sinks import validate
+
+BATCH_COLUMN = "ingest_batch"
+
+
+def _write_batch(df: DataFrame, path: str, batch_id: int, parts: list[str]) -> None:
+    (df.withColumn(BATCH_COLUMN, F.lit(batch_id))
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy(*parts, BATCH_COLUMN).parquet(path))
 
 
-def _batch_writer(table_path: str, error_path: str):
+def batch_writer(table_path: str, error_path: str):
+    """The foreachBatch function: validate once, route, write idempotently."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
             good, bad = validate(batch, TRANSCRIPTS)
-            append(good, table_path, TRANSCRIPTS)
-            bad.write.mode("append").parquet(error_path)
+            _write_batch(good.withColumn(PARTITION_COLUMN, F.to_date("created_at")),
+                         table_path, batch_id, [PARTITION_COLUMN])
+            _write_batch(bad, error_path, batch_id, [])
         finally:
             batch.unpersist()
     return write
@@ -36,7 +50,7 @@ def start_ingest(spark: SparkSession, source_dir: str, table_path: str, error_pa
                  processing_time: str | None = None) -> StreamingQuery:
     """Start the ingest stream; ``checkpoint`` must be on shared storage."""
     stream = spark.readStream.schema(RAW_TRANSCRIPTS).format(fmt).load(source_dir)
-    writer = (stream.writeStream.foreachBatch(_batch_writer(table_path, error_path))
+    writer = (stream.writeStream.foreachBatch(batch_writer(table_path, error_path))
               .option("checkpointLocation", checkpoint))
     if available_now:
         writer = writer.trigger(availableNow=True)

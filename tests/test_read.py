@@ -55,3 +55,16 @@ def test_fallback_only_when_empty(spark):
     assert [r.id for r in rows] == [f"ml-test-{i}" for i in range(5)]
     assert rows[2].created_at == AS_OF - dt.timedelta(days=2)
     assert rows[4].content == SAMPLE_CONTENT[4]
+
+
+def test_default_clock_is_utc_in_any_session_zone(spark):
+    from transcript_lake.functions.time import as_of_col
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ["America/Los_Angeles", "Asia/Tokyo"]:
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            got = spark.range(1).select(as_of_col(None).alias("t")).collect()[0].t
+            now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+            assert abs((now - got).total_seconds()) < 120
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

@@ -14,12 +14,12 @@ TS_TEXT_FORMAT = "yyyy-MM-dd HH:mm:ss"
 def as_of_col(as_of=None) -> Column:
     """The run's clock as a TIMESTAMP_NTZ column.
 
-    ``None`` reads the clock once per query (UTC with the session zone set to
-    UTC). A Column (a literal or a scalar subquery) is used as is; text or a
+    ``None`` reads the clock once per query, as UTC wall time whatever the
+    session zone. A Column (a literal or a scalar subquery) is used as is; text or a
     ``datetime`` is parsed as a zone-less DATETIME.
     """
     if as_of is None:
-        return F.localtimestamp()
+        return F.convert_timezone(None, F.lit("UTC"), F.localtimestamp())
     if isinstance(as_of, Column):
         return as_of
     if isinstance(as_of, dt.datetime):

@@ -10,7 +10,7 @@ from ..functions.time import as_of_col, days
 from ..sources.schemas import PARTITION_COLUMN
 
 
-def _prune_dates(df: DataFrame, lower_ts: Column) -> DataFrame:
+def prune_dates(df: DataFrame, lower_ts: Column) -> DataFrame:
     """Add a partition-column bound implied by a timestamp bound.
 
     Spark does not derive partition filters from a filter on a data column,
@@ -25,7 +25,7 @@ def _prune_dates(df: DataFrame, lower_ts: Column) -> DataFrame:
 def recent(df: DataFrame, n_days: int, as_of=None, ts: str = "created_at") -> DataFrame:
     """Rows with ``ts >= as_of - n_days``; the bound is inclusive, no upper bound."""
     lower = as_of_col(as_of) - days(n_days)
-    return _prune_dates(df, lower).filter(F.col(ts) >= lower)
+    return prune_dates(df, lower).filter(F.col(ts) >= lower)
 
 
 def on_day(df: DataFrame, day, ts: str = "created_at") -> DataFrame:

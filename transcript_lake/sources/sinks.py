@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.time import as_of_col, millis
-from ..operators.read import _prune_dates
+from ..operators.read import prune_dates
 from ..session import shared_dir
 from .schemas import PARTITION_COLUMN, TRANSCRIPTS
 from .tables import read_table
@@ -179,7 +179,7 @@ def expire(df: DataFrame, ttl_ms: int | None, as_of=None, ts: str = "created_at"
     if ttl_ms is None:
         return df
     cutoff = as_of_col(as_of) - millis(ttl_ms)
-    return _prune_dates(df, cutoff).filter(F.col(ts) > cutoff)
+    return prune_dates(df, cutoff).filter(F.col(ts) > cutoff)
 
 
 def table_profile(spark: SparkSession, path: str, schema: T.StructType = TRANSCRIPTS) -> DataFrame:

@@ -44,12 +44,14 @@ def normalize_principals(access: DataFrame) -> DataFrame:
 
 
 def _settings_rows(access: DataFrame, rows: list[tuple[str, str]], cols: tuple[str, str]) -> DataFrame:
-    """Rows from scalar settings, skipping empty values, on the same session."""
+    """Rows from scalar settings, skipping empty values, as literal rows."""
     kept = [(a, b) for a, b in rows if b]
     spark = access.sparkSession
-    if not kept:
-        return spark.createDataFrame([], f"{cols[0]} string, {cols[1]} string")
-    return spark.createDataFrame(kept, f"{cols[0]} string, {cols[1]} string")
+    structs = [F.struct(F.lit(a).alias(cols[0]), F.lit(b).alias(cols[1])) for a, b in kept]
+    if not structs:
+        return spark.range(0).select(F.lit(None).cast("string").alias(cols[0]),
+                                     F.lit(None).cast("string").alias(cols[1]))
+    return spark.range(1).select(F.inline(F.array(*structs)))
 
 
 def expand_grants(access: DataFrame, settings: AccessSettings) -> DataFrame:

@@ -50,12 +50,16 @@ def lake_session(master: str | None = None, cpus: int | None = None,
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, named by ``spark.checkpoint.dir``.
 
-    Written tables and checkpoints go below it. Only when the session names
-    none (tests, a laptop) is a private folder made, once per application,
-    and set as the checkpoint folder.
+    Written tables and checkpoints go below it. When the session names it,
+    only the session config is read (works with Spark Connect too). Only when
+    it names none (tests, a laptop; never a cluster) is a private folder made,
+    once per application, and set as the checkpoint folder.
     """
+    base = spark.conf.get(_SHARED_CONF, None)
+    if base:
+        return base
     sc = spark.sparkContext
-    base = spark.conf.get(_SHARED_CONF, None) or sc.getConf().get(_SHARED_CONF, None)
+    base = sc.getConf().get(_SHARED_CONF, None)
     if not base:
         if not sc.master.startswith("local"):
             raise RuntimeError(

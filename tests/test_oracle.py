@@ -57,3 +57,35 @@ def test_entry_smoke(spark):
     assert df.columns == ["date", "transcript_count", "avg_content_length",
                           "earliest_transcript", "latest_transcript"]
     assert 0 < len(rows) <= 7
+
+
+JOIN_KEYS = ["daily_stats", "transcript_features", "repo_mismatch", "stale_bindings",
+             "remove_bindings", "ensure_bindings", "missing_role"]
+
+
+@pytest.mark.parametrize("key", JOIN_KEYS)
+def test_join_queries_without_broadcast(spark, duck, key):
+    """Beyond the broadcast size the same queries plan as sort-merge joins
+    and give the same rows."""
+    import contextlib
+    import io
+    confs = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = {c: spark.conf.get(c, None) for c in confs}
+    try:
+        for c in confs:
+            spark.conf.set(c, "-1")
+        df = queries()[key](spark, SMALL)
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain()
+        assert "SortMergeJoin" in buf.getvalue() and "BroadcastHashJoin" not in buf.getvalue()
+        s_rows = [tuple(r) for r in df.collect()]
+    finally:
+        for c, v in before.items():
+            if v is None:
+                spark.conf.unset(c)
+            else:
+                spark.conf.set(c, v)
+    res = duck.execute(oracle_sql()[key])
+    d_cols = [c[0] for c in res.description]
+    assert _rows(df.columns, s_rows) == _rows(d_cols, res.fetchall())

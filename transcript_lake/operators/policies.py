@@ -48,19 +48,23 @@ def policy_has_member(policies: DataFrame, prefix: str) -> DataFrame:
 
 
 def stale_bindings(flat: DataFrame, stale: DataFrame) -> DataFrame:
-    """Listed (resource, role, member) triples that the policy does hold."""
-    return flat.join(stale.select(KEYS), KEYS, "left_semi")
+    """Listed (resource, role, member) triples that the policy does hold.
+
+    The lookup side is de-duplicated first, so repeated triples collapse
+    map-side; a hot triple on the policy side is split by AQE's skew join.
+    """
+    return flat.join(stale.select(KEYS).distinct(), KEYS, "left_semi")
 
 
 def remove_bindings(flat: DataFrame, stale: DataFrame) -> DataFrame:
     """The policy without the listed triples; all other bindings kept."""
-    return flat.join(stale.select(KEYS), KEYS, "left_anti")
+    return flat.join(stale.select(KEYS).distinct(), KEYS, "left_anti")
 
 
 def ensure_bindings(flat: DataFrame, wanted: DataFrame) -> DataFrame:
     """Add each wanted triple only where it is missing (running it twice
     gives the same rows as once)."""
-    missing = wanted.select(KEYS).distinct().join(flat.select(KEYS), KEYS, "left_anti")
+    missing = wanted.select(KEYS).distinct().join(flat.select(KEYS).distinct(), KEYS, "left_anti")
     return flat.select(KEYS).unionByName(missing)
 
 

@@ -79,3 +79,41 @@ def test_suspicious_append_writes_closed_windows(spark, tmp):
     assert set(got) <= set(want) and len(got) > 0
     latest = max(r[1] for r in want)
     assert all(r in got for r in want if r[1] <= latest - __import__("datetime").timedelta(hours=2))
+
+
+def test_late_entries_behind_the_watermark_are_dropped(spark, tmp):
+    """Spark filters late rows against the previous micro-batch's watermark:
+    a row arriving two batches after the watermark passed its window is
+    dropped, and its window is not reopened."""
+    import json
+    src = os.path.join(tmp, "audit")
+    os.makedirs(src)
+
+    def entry(i, ts):
+        return json.dumps({"insertId": str(i), "timestamp": ts,
+                           "protoPayload": {"methodName": "GenerateAccessToken",
+                                            "request": {"name": "projects/-/serviceAccounts/sa1"},
+                                            "authenticationInfo": {"principalEmail": "eve@x.com"}}})
+    files = [("a.json", [entry(1, "2024-01-01 10:00:00"), entry(2, "2024-01-01 12:00:00")]),
+             ("b.json", [entry(3, "2024-01-01 12:00:20")]),
+             ("c.json", [entry(4, "2024-01-01 10:00:30"), entry(5, "2024-01-01 12:00:40")])]
+    for i, (name, lines) in enumerate(files):
+        path = os.path.join(src, name)
+        with open(path, "w") as f:
+            f.write("\n".join(lines) + "\n")
+        os.utime(path, (1000 + i, 1000 + i))            # arrival order
+    stream = suspicious_stream(spark, src, "u1@x.com", window="1 minute", watermark="30 minutes",
+                               max_files_per_trigger=1)
+    name = "late_counts"
+    q = (stream.writeStream.outputMode("update").format("memory").queryName(name)
+         .option("checkpointLocation", os.path.join(tmp, "ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    dropped = sum(o.get("numRowsDroppedByWatermark", 0)
+                  for p in q.recentProgress for o in p["stateOperators"])
+    got = {}
+    for r in spark.table(name).collect():
+        k = r.window_start.strftime("%H:%M")
+        got[k] = max(got.get(k, 0), r.suspicious_count)
+    assert got == {"10:00": 1, "12:00": 3}
+    assert dropped == 1

@@ -2,8 +2,9 @@
 
 The batch form is ``operators.audit.suspicious_counts``. The stream reads
 JSON audit entries as text lines, keeps state per tumbling window and drops
-it once the watermark passes the window's end. Rows later than the watermark
-are dropped by Spark.
+it once the watermark passes the window's end. Late rows are dropped by
+Spark when they are older than the previous micro-batch's watermark (the
+rule Spark uses since 3.4 so that chained stateful operators agree).
 
 Watermarks need TIMESTAMP, not TIMESTAMP_NTZ: the zone-less log time is cast
 to TIMESTAMP, which is exact with the session zone set to UTC, and the

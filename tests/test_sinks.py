@@ -158,3 +158,15 @@ def test_named_table_append_replace_delete(spark, tmp):
     SK.replace(spark.table(name).filter(F.col("id") != "t1").select(TRANSCRIPTS.fieldNames()),
                name, TRANSCRIPTS)
     assert _ids(spark.table(name)) == sorted(f"t{i}" for i in range(2, 9))
+
+
+def test_replace_when_only_a_subquery_reads_the_target(spark, tmp):
+    a, b = os.path.join(tmp, "a"), os.path.join(tmp, "b")
+    SK.append(_df(spark, 20), a)
+    SK.append(_df(spark, 20), b)
+    clock = read_table(spark, a).select(F.max("created_at")).scalar()
+    src = (read_table(spark, b).filter(F.col("created_at") >= clock - F.expr("INTERVAL 3 DAYS"))
+           .select(TRANSCRIPTS.fieldNames()))
+    want = sorted(r.id for r in src.collect())
+    SK.replace(src, a, TRANSCRIPTS)             # the target is read only by the clock
+    assert _ids(read_table(spark, a)) == want and want

@@ -9,6 +9,10 @@ that matters.
 
 from __future__ import annotations
 
+import contextlib
+import io
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,12 +99,29 @@ def checked_append(raw: DataFrame, path: str, schema: T.StructType = TRANSCRIPTS
     return bad
 
 
+def _norm_path(p: str) -> str:
+    return p.rstrip("/").split("://")[-1].replace("file:", "")
+
+
+def _plan_text(df: DataFrame) -> str:
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode="formatted")
+    return buf.getvalue()
+
+
 def _reads(df: DataFrame, path: str) -> bool:
-    """Whether ``df`` reads any file below ``path`` (uses the file listing
-    Spark already made when the source was opened)."""
-    target = path.rstrip("/").split("://")[-1].replace("file:", "")
-    return any(f.split("://")[-1].replace("file:", "").startswith(target + "/")
-               for f in df.inputFiles())
+    """Whether ``df`` reads anything below ``path``.
+
+    Checks the input files of the main plan (Spark's own listing) and the
+    scan locations printed for the whole plan, subqueries included: a
+    subquery that reads the target would otherwise see its files deleted
+    before it runs.
+    """
+    target = _norm_path(path)
+    if any(_norm_path(f).startswith(target + "/") for f in df.inputFiles()):
+        return True
+    return re.search(re.escape(target) + r"(?=[\]/,\s]|$)", _plan_text(df)) is not None
 
 
 def _cut_lineage(df: DataFrame) -> DataFrame:

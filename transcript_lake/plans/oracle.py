@@ -303,6 +303,12 @@ def oracle_sql() -> dict[str, str]:
                      AS window_end,
                    count(*) AS suspicious_count
             FROM unexp GROUP BY 1, 2""", "unexp"),
+        "suspicious_stream": _with(f"""
+            SELECT time_bucket(INTERVAL '{Q.SUSPICIOUS_WINDOW}', ts) AS window_start,
+                   time_bucket(INTERVAL '{Q.SUSPICIOUS_WINDOW}', ts) + INTERVAL '{Q.SUSPICIOUS_WINDOW}'
+                     AS window_end,
+                   count(*) AS suspicious_count
+            FROM unexp GROUP BY 1, 2""", "unexp"),
         "probe_report": _with(f"""
             SELECT identity, {_LABEL} AS permission, ok
             FROM (UNPIVOT pr ON COLUMNS(* EXCLUDE (identity)) INTO NAME probe VALUE ok)""", "pr"),

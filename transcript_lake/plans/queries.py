@@ -38,6 +38,7 @@ EXPECTED_CALLER = "u1@x.com"
 CALLER = "u7@x.com"
 CALLER_ROWS = 50
 SUSPICIOUS_WINDOW = "1 hour"
+SUSPICIOUS_WATERMARK = "1 hour"
 MEMBER_PREFIX = "group:g1"
 COLS = TRANSCRIPTS.fieldNames()
 
@@ -232,6 +233,22 @@ def suspicious_counts(spark, sf):
     return AU.suspicious_counts(_audit(spark, sf), EXPECTED_CALLER, SUSPICIOUS_WINDOW)
 
 
+def suspicious_stream(spark, sf):
+    """W2 as a stream: audit entries land as text files, the counter runs in
+    update mode into an update log, the result is the compacted log."""
+    from ..streaming.suspicious import current_counts, start_suspicious_updates
+    src = new_table_path(spark, "audit_landing")
+    FX.audit_json(spark, sf).write.text(src)
+    log = new_table_path(spark, "suspicious_log")
+    q = start_suspicious_updates(spark, src, log, new_table_path(spark, "suspicious_ckpt"),
+                                 EXPECTED_CALLER, SUSPICIOUS_WINDOW, SUSPICIOUS_WATERMARK,
+                                 available_now=True)
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return current_counts(spark, log)
+
+
 def probe_report(spark, sf):
     return AU.probe_report(FX.probes(spark, sf))
 
@@ -249,5 +266,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in [
     flatten_policy, members_with_role, policy_has_member, stale_bindings, remove_bindings,
     ensure_bindings, missing_role, repo_mismatch,
     audit_methods, audit_for_target, audit_unexpected, audit_by_caller, suspicious_counts,
-    probe_report, access_level,
+    suspicious_stream, probe_report, access_level,
 ]}

@@ -51,3 +51,40 @@ def start_suspicious(spark: SparkSession, source_dir: str, sink_path: str, check
     elif processing_time:
         writer = writer.trigger(processingTime=processing_time)
     return writer.start()
+
+
+UPDATE_BATCH = "update_batch"
+
+
+def start_suspicious_updates(spark: SparkSession, source_dir: str, log_path: str, checkpoint: str,
+                             expected: str, window: str = "1 minute", watermark: str = "10 minutes",
+                             available_now: bool = False, processing_time: str | None = None):
+    """Run the counter in update mode into an update log.
+
+    Each micro-batch writes the windows it changed to its own
+    ``update_batch=<id>`` partition with dynamic overwrite, so a replayed
+    batch replaces its rows (exactly-once). ``current_counts`` compacts the
+    log. State is evicted by the watermark, so it stays bounded.
+    """
+    counts = suspicious_stream(spark, source_dir, expected, window, watermark)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn(UPDATE_BATCH, F.lit(batch_id))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(UPDATE_BATCH).parquet(log_path))
+
+    writer = (counts.writeStream.outputMode("update").foreachBatch(write)
+              .option("checkpointLocation", checkpoint))
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    elif processing_time:
+        writer = writer.trigger(processingTime=processing_time)
+    return writer.start()
+
+
+def current_counts(spark: SparkSession, log_path: str) -> DataFrame:
+    """Latest count per window from the update log (one aggregation; each
+    window's updates are few, one per micro-batch that touched it)."""
+    log = spark.read.parquet(log_path)
+    return (log.groupBy("window_start", "window_end")
+            .agg(F.max_by("suspicious_count", UPDATE_BATCH).alias("suspicious_count")))

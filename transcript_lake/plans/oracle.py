@@ -237,6 +237,10 @@ def oracle_sql() -> dict[str, str]:
                        CASE WHEN content IS NULL THEN 'content: REQUIRED' END) AS errors
               FROM dirty)
             WHERE errors <> ''""", "dirty"),
+        "ingest_stream": _with("""
+            SELECT id, TRY_CAST(created_at AS TIMESTAMP) AS created_at, content FROM dirty
+            WHERE id IS NOT NULL AND content IS NOT NULL
+              AND TRY_CAST(created_at AS TIMESTAMP) IS NOT NULL""", "dirty"),
         "create_as_select": _with(f"SELECT {cols} FROM t", "t"),
         "delete_where": _with(f"""
             SELECT {cols} FROM dirty

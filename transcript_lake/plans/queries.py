@@ -132,6 +132,21 @@ def delete_where(spark, sf):
     return SK.delete_from(spark, path, F.length("content") < DELETE_BELOW_CHARS, RAW_TRANSCRIPTS)
 
 
+def ingest_stream(spark, sf):
+    """W1 as a stream: uploads land as files, the stream validates them, good
+    rows go to the landing table and bad rows to an error table."""
+    from ..streaming.ingest import start_ingest
+    src = new_table_path(spark, "uploads_landing")
+    FX.dirty_rows(spark, sf).write.parquet(src)
+    table = new_table_path(spark, "transcripts_landing")
+    q = start_ingest(spark, src, table, new_table_path(spark, "upload_errors"),
+                     new_table_path(spark, "ingest_ckpt"), available_now=True)
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return read_table(spark, table).select(COLS)
+
+
 def retention(spark, sf):
     t, clock = _t(spark, sf)
     return SK.expire(t, RETENTION_MS, clock).select(COLS)
@@ -260,7 +275,8 @@ def access_level(spark, sf):
 QUERIES: dict[str, Query] = {f.__name__: f for f in [
     daily_stats, transcript_preview, recent_transcripts, rows_on_day, any_row, sample_fallback,
     transcript_features, topic_summary, processing_history, pipeline_summary,
-    append_rows, replace_processed, invalid_rows, create_as_select, delete_where, retention,
+    append_rows, replace_processed, invalid_rows, ingest_stream, create_as_select, delete_where,
+    retention,
     table_profile,
     all_users, normalize_principals, expand_grants, log_viewers, grant_summary, invalid_members,
     flatten_policy, members_with_role, policy_has_member, stale_bindings, remove_bindings,

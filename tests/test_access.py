@@ -4,7 +4,6 @@ import itertools
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from transcript_lake.operators import audit as AU
 from transcript_lake.operators import grants as GR

@@ -3,7 +3,6 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from transcript_lake.operators import audit as AU
 from transcript_lake.sources import fixtures as FX

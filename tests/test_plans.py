@@ -76,3 +76,26 @@ def test_no_pairwise_joins(spark, key):
     assert "CartesianProduct" not in p
     assert "BroadcastNestedLoopJoin" not in p
     assert "BatchEvalPython" not in p
+
+
+def test_bucketed_tables_join_without_shuffle(spark, tmp_path_factory):
+    from transcript_lake.operators import policies as PO
+    base = str(tmp_path_factory.mktemp("bucketed"))
+    keys = ["resource", "role", "member"]
+    flat = SK.create_as(FX.policy_flat(spark, SMALL), "tl_flat_b", os.path.join(base, "flat"),
+                        bucket_by=(8, keys))
+    stale = SK.create_as(FX.stale_pairs(spark, SMALL), "tl_stale_b", os.path.join(base, "stale"),
+                         bucket_by=(8, keys))
+    confs = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = {c: spark.conf.get(c, None) for c in confs}
+    try:
+        for c in confs:
+            spark.conf.set(c, "-1")
+        out = PO.remove_bindings(flat, stale)       # its lookup-side distinct reuses the buckets
+        p = plan(out)
+        got = out.count()
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+    assert "SortMergeJoin" in p and "Exchange" not in p
+    assert got == PO.remove_bindings(FX.policy_flat(spark, SMALL), FX.stale_pairs(spark, SMALL)).count()

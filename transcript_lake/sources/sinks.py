@@ -165,17 +165,26 @@ def _table_location(spark: SparkSession, name: str) -> str | None:
     return rows[0][0] if rows else None
 
 
-def create_as(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def create_as(df: DataFrame, name: str, path: str | None = None,
+              bucket_by: tuple[int, list[str]] | None = None) -> DataFrame:
     """CREATE OR REPLACE TABLE name AS <df> (K4) in the session catalog.
 
     The table's files go to ``path`` (default: under the shared folder).
+    ``bucket_by=(n, keys)`` stores the rows hashed into ``n`` buckets by
+    ``keys`` and sorted within each bucket; tables bucketed alike then join
+    on those keys with no shuffle, the layout for joins that run again and
+    again (policy bindings against stale or wanted lists).
     """
     spark = df.sparkSession
     path = path or f"{shared_dir(spark)}/warehouse/{name}"
     current = _table_location(spark, name) if spark.catalog.tableExists(name) else None
     if _reads(df, path) or (current and _reads(df, current)):
         df = _cut_lineage(df)
-    df.write.mode("overwrite").option("path", path).saveAsTable(name)
+    writer = df.write.mode("overwrite").option("path", path)
+    if bucket_by:
+        n, keys = bucket_by
+        writer = writer.bucketBy(n, *keys).sortBy(*keys)
+    writer.saveAsTable(name)
     return spark.table(name)
 
 

@@ -99,3 +99,11 @@ def test_bucketed_tables_join_without_shuffle(spark, tmp_path_factory):
             spark.conf.unset(c) if v is None else spark.conf.set(c, v)
     assert "SortMergeJoin" in p and "Exchange" not in p
     assert got == PO.remove_bindings(FX.policy_flat(spark, SMALL), FX.stale_pairs(spark, SMALL)).count()
+
+
+def test_day_and_expiry_prune_partitions(spark, stored):
+    p = plan(RD.rows_on_day(read_table(spark, stored), AS_OF))
+    assert "PartitionFilters: [isnotnull(created_date" in p and "(created_date" in p
+    p = plan(SK.expire(read_table(spark, stored), 3 * 24 * 3600 * 1000, AS_OF))
+    assert "PartitionFilters: [isnotnull(created_date" in p
+    assert "GreaterThan(created_at" in p

@@ -31,3 +31,12 @@ def test_cli_jobs(spark, tmp, capsys):
     FX.probes(spark, SMALL).write.parquet(probes)
     assert main(["access", "--probes", probes], spark) == 0
     assert "Can Update Dataset" in capsys.readouterr().out
+
+
+def test_cli_upload_accepts_clean_rows(spark, tmp, capsys):
+    from transcript_lake.sources.tables import UPLOAD_CONTENT, upload_batch
+    table = os.path.join(tmp, "transcripts")
+    rows = os.path.join(tmp, "rows")
+    upload_batch(spark, UPLOAD_CONTENT, AS_OF).write.parquet(rows)
+    assert main(["--as-of", AS_OF, "upload", "--table", table, "--rows", rows], spark) == 0
+    assert capsys.readouterr().out.strip().startswith("3 rows dated today")

@@ -3,6 +3,8 @@
 import datetime as dt
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from transcript_lake.sources import sinks as SK
@@ -169,3 +171,20 @@ def test_replace_when_only_a_subquery_reads_the_target(spark, tmp):
     want = sorted(r.id for r in src.collect())
     SK.replace(src, a, TRANSCRIPTS)             # the target is read only by the clock
     assert _ids(read_table(spark, a)) == want and want
+
+
+def test_required_values_are_enforced(spark, tmp):
+    path = os.path.join(tmp, "t")
+    SK.append(_df(spark, 5), path)
+    holes = spark.createDataFrame([("x1", AS_OF, None), (None, AS_OF, "y")], SCHEMA)
+    with pytest.raises(Exception, match="REQUIRED"):
+        SK.append(holes, path)
+    assert read_table(spark, path).count() == 5            # nothing was added
+    with pytest.raises(ValueError, match="content, id|id, content"):
+        SK.replace(holes, path, TRANSCRIPTS)
+    assert read_table(spark, path).count() == 5            # nothing was removed
+    src = read_table(spark, path).select(
+        "id", "created_at", F.when(F.col("id") == "t1", None).otherwise(F.col("content")).alias("content"))
+    with pytest.raises(Exception, match="REQUIRED"):
+        SK.replace(src, path, TRANSCRIPTS)                 # reads its target: checked at checkpoint
+    assert read_table(spark, path).count() == 5

@@ -34,6 +34,34 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def _required_missing(schema: T.StructType):
+    """(field, predicate) pairs that are TRUE where a REQUIRED value is missing."""
+    return [(f.name, F.col(f.name).isNull()) for f in schema.fields if not f.nullable]
+
+
+def require(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Fail the job on a missing REQUIRED value (files do not keep NOT NULL).
+
+    The check rides along in the write itself: a task that meets a NULL
+    raises, the job aborts and nothing is committed.
+    """
+    guarded = {name: F.when(miss, F.raise_error(F.lit(f"{name}: REQUIRED"))).otherwise(F.col(name))
+               for name, miss in _required_missing(schema)}
+    return df.select([guarded.get(c, F.col(c)).alias(c) for c in df.columns])
+
+
+def _check_required(df: DataFrame, schema: T.StructType) -> None:
+    """Raise before writing if any REQUIRED value is missing (one pass over
+    the required columns only)."""
+    missing = _required_missing(schema)
+    if not missing:
+        return
+    probe = df.select([F.max(m.cast("int")).alias(n) for n, m in missing]).collect()[0]
+    bad = [n for n, _ in missing if probe[n]]
+    if bad:
+        raise ValueError("REQUIRED value missing in: " + ", ".join(bad))
+
+
 def _with_partition(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """Add the date partition column when the table has a typed created_at."""
     types = dict(df.dtypes)
@@ -75,8 +103,11 @@ def _is_path(where: str) -> bool:
 
 
 def append(df: DataFrame, where: str, schema: T.StructType = TRANSCRIPTS) -> None:
-    """Add rows to a table (path or catalog name) and keep the old ones (K1)."""
-    out, parts = _with_partition(conform(df, schema))
+    """Add rows to a table (path or catalog name) and keep the old ones (K1).
+
+    A missing REQUIRED value fails the write and nothing is added.
+    """
+    out, parts = _with_partition(require(conform(df, schema), schema))
     if _is_path(where):
         out.write.mode("append").partitionBy(*parts).parquet(where)
     elif df.sparkSession.catalog.tableExists(where):
@@ -141,7 +172,9 @@ def replace(df: DataFrame, where: str, schema: T.StructType,
     or a catalog table name.
 
     ``reads_target``: whether ``df`` is computed from the target itself; when
-    ``None`` it is found from the plan's input files.
+    ``None`` it is found from the plan. A missing REQUIRED value raises before
+    any old file is removed: checked while taking the checkpoint when the
+    target is read, else by a pass over the required columns first.
     """
     out, parts = _with_partition(conform(df, schema))
     spark = df.sparkSession
@@ -152,7 +185,9 @@ def replace(df: DataFrame, where: str, schema: T.StructType,
     if reads_target is None:
         reads_target = bool(location) and _reads(df, location)
     if reads_target:
-        out = _cut_lineage(out)
+        out = _cut_lineage(require(out, schema))
+    else:
+        _check_required(out, schema)
     if _is_path(where):
         out.write.mode("overwrite").partitionBy(*parts).parquet(where)
     else:

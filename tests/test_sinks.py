@@ -180,7 +180,7 @@ def test_required_values_are_enforced(spark, tmp):
     with pytest.raises(Exception, match="REQUIRED"):
         SK.append(holes, path)
     assert read_table(spark, path).count() == 5            # nothing was added
-    with pytest.raises(ValueError, match="content, id|id, content"):
+    with pytest.raises(ValueError, match="REQUIRED value missing in: (id|content)"):
         SK.replace(holes, path, TRANSCRIPTS)
     assert read_table(spark, path).count() == 5            # nothing was removed
     src = read_table(spark, path).select(

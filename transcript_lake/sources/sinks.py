@@ -12,6 +12,7 @@ from __future__ import annotations
 import contextlib
 import io
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,14 +52,19 @@ def require(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def _check_required(df: DataFrame, schema: T.StructType) -> None:
-    """Raise before writing if any REQUIRED value is missing (one pass over
-    the required columns only)."""
+    """Raise before writing if any REQUIRED value is missing.
+
+    Written as a filter plus ``limit(1)`` so that ``IsNull`` reaches the
+    Parquet scan: row groups whose statistics show no NULLs are skipped
+    without decoding, and the scan stops at the first offending row.
+    """
     missing = _required_missing(schema)
     if not missing:
         return
-    probe = df.select([F.max(m.cast("int")).alias(n) for n, m in missing]).collect()[0]
-    bad = [n for n, _ in missing if probe[n]]
-    if bad:
+    any_missing = reduce(lambda a, b: a | b, [m for _, m in missing])
+    hit = df.filter(any_missing).select([m.alias(n) for n, m in missing]).limit(1).collect()
+    if hit:
+        bad = [n for n, _ in missing if hit[0][n]]
         raise ValueError("REQUIRED value missing in: " + ", ".join(bad))
 
 

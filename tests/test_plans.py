@@ -107,3 +107,12 @@ def test_day_and_expiry_prune_partitions(spark, stored):
     p = plan(SK.expire(read_table(spark, stored), 3 * 24 * 3600 * 1000, AS_OF))
     assert "PartitionFilters: [isnotnull(created_date" in p
     assert "GreaterThan(created_at" in p
+
+
+def test_required_check_reaches_parquet(spark, stored):
+    from functools import reduce
+    from pyspark.sql import functions as F
+    from transcript_lake.sources.schemas import TRANSCRIPTS
+    cond = reduce(lambda a, b: a | b, [F.col(f.name).isNull() for f in TRANSCRIPTS.fields if not f.nullable])
+    p = plan(read_table(spark, stored).filter(cond).limit(1))
+    assert "PushedFilters: [Or(Or(IsNull(id),IsNull(created_at)),IsNull(content))]" in p

@@ -37,7 +37,9 @@ def lake_session(master: str | None = None, cpus: int | None = None,
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.shuffle.partitions": str(2 * n),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.driver.memory": "8g",
+        # local runs only: the sf0.1 test tables need far less; keep room on
+        # small machines (TRANSCRIPT_LAKE_DRIVER_MEMORY overrides).
+        "spark.driver.memory": os.environ.get("TRANSCRIPT_LAKE_DRIVER_MEMORY", "4g"),
     }
     conf.update(extra)
     for k, v in conf.items():

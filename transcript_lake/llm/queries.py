@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, quality_pu, quality_rules, sharding, token_count, toxicity, url_filters
+from . import (
+    decontaminate,
+    line_dedup,
+    ngram_join,
+    packing,
+    quality_pu,
+    quality_rules,
+    sharding,
+    token_count,
+    toxicity,
+    url_filters,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +39,12 @@ def op1_toxicity(spark, sf_dir):
     return scored.select(*_verdict(toxicity.fold("doc_id", 4) == 2))
 
 
+def op3_decontamination(spark, sf_dir):
+    docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    pairs = decontaminate.contaminated_pairs(docs, benchmark)
+    return pairs.withColumn("contaminated", F.lit(True))
+
+
 def op4_quality(spark, sf_dir):
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = quality_pu.fit_labelled(docs, labels)
@@ -40,6 +57,10 @@ def op2_quality_rules(spark, sf_dir):
     return judged.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
 
+def op6_ngram_join(spark, sf_dir):
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), 4, 85)
+
+
 def op8_line_dedup(spark, sf_dir):
     out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -75,5 +96,5 @@ def op10_sharding(spark, sf_dir):
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_toxicity, op2_quality_rules, op4_quality, op5_url_filters, op7_packing, op8_line_dedup,
-    op9_token_count, op10_sharding)}
+    op1_toxicity, op2_quality_rules, op3_decontamination, op4_quality, op5_url_filters,
+    op6_ngram_join, op7_packing, op8_line_dedup, op9_token_count, op10_sharding)}

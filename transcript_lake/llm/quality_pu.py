@@ -215,3 +215,13 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int =
     positives = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & train)
                  .groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1"))
     return fit(docs.where(train), positives)
+
+
+def accept(docs: DataFrame, model: Model, threshold: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, all columns unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch, s):
+        return batch.filter(pa.array(shared.value.score(measures(s)) >= threshold))
+
+    return T.map_slices(docs, run, docs.schema, text)

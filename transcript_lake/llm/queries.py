@@ -68,7 +68,7 @@ def op8_line_dedup(spark, sf_dir):
 
 def op5_url_filters(spark, sf_dir):
     judged = url_filters.judge(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return judged.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+    return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 def _tokenizer(name: str) -> str:

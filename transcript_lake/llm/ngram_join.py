@@ -6,20 +6,21 @@ prefix filter:
 
 * Shingles have one global order: by how often they occur, rare first (counted
   over all documents in a fixed-size table of hash buckets), then by hash.
-* Two linked sets share at least two shingles among their *extended prefixes*,
-  the first ``size - ceil(t * size) + 2`` shingles of each: at most
-  ``overlap - 2`` shared ones can lie behind either prefix.
-* So it is enough to index single shingles of the rare class and, of the
-  frequent class, only pairs: of the two shared shingles either one is rare or
-  both are frequent.
+* Two linked sets share at least ``L`` shingles among their *extended
+  prefixes*, the first ``size - ceil(t * size) + L`` shingles of each: at most
+  ``overlap - L`` shared ones can lie behind either prefix.
+* With ``L = RARE + 1`` it is enough to look for ``RARE`` common shingles of
+  the rare class, or one common *pair* of the frequent class: of ``L`` shared
+  shingles either ``RARE`` are rare or two are frequent.
 * Candidates are verified on the whole sets.
 
-Groups are found without listing all pairs of a group. Equal sets collapse to
-one representative. Then every shingle of the index proposes only links to
-the smallest representative that holds it (linear in the index); verified
-links give first groups. After that, only shingles found in two or more
+Groups are found without listing all pairs of a group. Equal sets are one
+class, and each task indexes a class once. Then every shingle of the index
+proposes only links to the smallest document that holds it (linear in the
+index); verified links give first groups. After that, only shingles found in two or more
 *groups* can still join anything: those in at most ``FREQUENT`` groups
-propose every pair from different groups, the others do so in combinations of two.
+are the rare class and propose pairs from different groups, the others do so
+in combinations of two.
 So no link between different groups is missed, and a group of near copies
 costs no more than its size.
 
@@ -51,6 +52,7 @@ from .components import components
 from .ship import ship
 
 N, PERCENT = 4, 85
+RARE = 3                    # common rare shingles that make a candidate
 BITS = 20                   # hash buckets that count shingles
 CHUNK = 1 << 16
 FREQUENT = 32               # groups that share a shingle of the rare class at most
@@ -139,24 +141,35 @@ def bucket_classes(rows: DataFrame, bits: int = BITS) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(id, size, prefix): each text's extended prefix in the global order."""
+    """(id, size, prefix): extended prefixes in the global order, once per task for equal sets."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     bits = int(log2(len(levels)))
 
-    def run(batch, s):
-        rows, x = shingles(s, n)
-        k = len(s)
-        order = np.lexsort((x, shared.value[(x >> np.uint64(64 - bits)).astype(np.int64)], rows))
-        rows, x = rows[order], x[order]
-        size = np.bincount(rows, minlength=k)
-        want = size - (percent * size + 99) // 100 + 2
-        cut = np.searchsorted(rows, np.arange(k + 1))
-        keep = np.arange(len(x)) - cut[rows] < want[rows]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(size),
-             T.lists(rows[keep], x[keep].view(np.int64), k, pa.int64())], names=["id", "size", "prefix"])
-
-    return T.map_slices(docs, run, "id long, size long, prefix array<long>")
+    def run(batches):
+        done: set[tuple[int, int]] = set()
+        for batch in batches:
+            for s in T.slices(batch.column(1)):
+                rows, x = shingles(s, n)
+                k = len(s)
+                size = np.bincount(rows, minlength=k)
+                sums = zip(_sums(rows, x, k).tolist(), _sums(rows, T.mix(x ^ _SALT), k).tolist())
+                new = np.array([m > 0 and key not in done and not done.add(key)
+                                for m, key in zip(size.tolist(), sums)], bool)
+                live = new[rows]
+                rows, x = rows[live], x[live]
+                level = shared.value[(x >> np.uint64(64 - bits)).astype(np.int64)]
+                order = np.lexsort((x, level, rows))
+                rows, x = rows[order], x[order]
+                want = size - (percent * size + 99) // 100 + RARE + 1
+                cut = np.searchsorted(rows, np.arange(k + 1))
+                keep = np.arange(len(x)) - cut[rows] < want[rows]
+                out = pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(s.lo, k), pa.array(size),
+                     T.lists(rows[keep], x[keep].view(np.int64), k, pa.int64())],
+                    names=["id", "size", "prefix"])
+                yield out.filter(pa.array(new))
+
+    return docs.mapInArrow(run, "id long, size long, prefix array<long>")
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -185,24 +198,29 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def with_hubs(index: DataFrame) -> DataFrame:
-    """The rows (token, id, size) of shingles with two or more holders, and the smallest holder (y, sy)."""
-    hub = index.groupBy("token").agg(F.min(F.struct("id", "size")).alias("m"), F.max("id").alias("last"))
-    hub = hub.where(F.col("m.id") < F.col("last")).select(
-        "token", F.col("m.id").alias("y"), F.col("m.size").alias("sy"))
+    """The rows (token, id, size) of shingles with two or more holders, and the smallest holder y."""
+    hub = (index.groupBy("token").agg(F.min("id").alias("y"), F.max("id").alias("last"))
+           .where("y < last").select("token", "y"))
     return index.join(hub, "token")
 
 
+def star_pairs(shared: DataFrame) -> DataFrame:
+    """(x, y): documents that share ``RARE`` shingles whose smallest holder is y."""
+    return (shared.where("id <> y").groupBy(F.col("id").alias("x"), "y").count()
+            .where(F.col("count") >= RARE).select("x", "y"))
+
+
 def _relabel(shared: DataFrame, groups: DataFrame) -> DataFrame:
     named = shared.join(groups, "id", "left")
     return named.withColumn("g", F.coalesce("component", "id")).drop("component")
 
 
-def _across(index: DataFrame, key: list[str], percent: int) -> DataFrame:
-    """Pairs with a common key, of fitting sizes, from different groups."""
+def _across(index: DataFrame, key: list[str], percent: int, least: int) -> DataFrame:
+    """Pairs with ``least`` common keys, of fitting sizes, from different groups."""
     a = index.select(*key, F.col("id").alias("x"), F.col("g").alias("gx"), F.col("size").alias("sx"))
     b = index.select(*key, F.col("id").alias("y"), F.col("g").alias("gy"), F.col("size").alias("sy"))
     return (a.join(b, key).where((F.col("gx") < F.col("gy")) & _sizes_fit(percent))
-            .select("x", "y").distinct())
+            .groupBy("x", "y").count().where(F.col("count") >= least).select("x", "y"))
 
 
 def group_pairs(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -211,7 +229,7 @@ def group_pairs(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame
     spread = (index.groupBy("token", "g").count().groupBy("token").agg(F.count("*").alias("k"))
               .where("k > 1"))
     live = _stored(index.join(spread, "token"), "live")
-    rare = _across(live.where(F.col("k") <= FREQUENT), ["token"], percent)
+    rare = _across(live.where(F.col("k") <= FREQUENT), ["token"], percent, RARE)
     # a document's frequent shingles, at most its prefix; all combinations of two
     often = (live.where(F.col("k") > FREQUENT).groupBy("id", "g", "size")
              .agg(F.array_sort(F.collect_set("token")).alias("ts")))
@@ -219,41 +237,47 @@ def group_pairs(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame
              .select("id", "g", "size", "t1", F.explode(F.slice("ts", F.col("at") + 2, F.size("ts"))).alias("t2")))
     common = (pairs.groupBy("t1", "t2").agg(F.min("g").alias("g0"), F.max("g").alias("g1"))
               .where("g0 < g1").select("t1", "t2"))
-    return rare.union(_across(pairs.join(common, ["t1", "t2"]), ["t1", "t2"], percent)).distinct()
+    return rare.union(_across(pairs.join(common, ["t1", "t2"]), ["t1", "t2"], percent, 1)).distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT,
                     id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``."""
+    if percent < 80:
+        raise ValueError("prefixes with three rare shingles need a similarity of 0.8 or more")
     shared_dir(docs.sparkSession)               # checkpoints need their folder
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     known = _stored(signatures(rows, n), "sets")
     levels = bucket_classes(known)
     known = known.where("chunk is null").select("id", "size", "a", "b")
-    rep = (known.where("size > 0 and id is not null").groupBy("size", "a", "b")
-           .agg(F.min("id").alias("rep")))
-    reps = rep.select(F.col("rep").alias("id")).distinct()
 
-    index = _stored(prefixes(rows.where("id is not null"), levels, n, percent)
-                    .where("size > 0").join(reps, "id", "left_semi"), "prefix")
+    index = _stored(prefixes(rows.where("id is not null"), levels, n, percent), "prefix")
     index = index.select("id", "size", F.explode("prefix").alias("token"))
-    shared = _stored(with_hubs(index), "shared")        # shingles held by two or more
-    wide = shared.select("id").distinct()
-    sets = _stored(shingle_sets(rows.join(wide, "id", "left_semi"), n)
-                   .dropDuplicates(["id"]), "tokens")
-    stars = (shared.select(F.col("id").alias("x"), "y", F.col("size").alias("sx"), "sy")
-             .where((F.col("x") != F.col("y")) & _sizes_fit(percent)).select("x", "y").distinct())
-    first = _stored(verify(stars, sets, percent), "links")
+    shared = _stored(with_hubs(index), "shared")
+    stars = _stored(star_pairs(shared), "pairs")
+    first = _stored(verified(stars, rows, n, percent), "links")
     groups = components(first)
-    more = _stored(verify(group_pairs(shared.select("id", "size", "token"), groups, percent), sets, percent), "links")
-    # whole groups are vertices now: join their names, then name every member again
-    joins = (more.join(groups.select(F.col("id").alias("x"), F.col("component").alias("cx")), "x", "left")
-             .join(groups.select(F.col("id").alias("y"), F.col("component").alias("cy")), "y", "left")
-             .select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y")).distinct())
-    merged = components(joins).select(F.col("id").alias("c"), F.col("component").alias("top"))
-    mine = (rep.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-            .withColumn("c", F.coalesce("component", "rep")).join(merged, "c", "left")
-            .select("size", "a", "b", F.coalesce("top", "c").alias("group")))
-    out = known.join(mine, ["size", "a", "b"], "left")
+    others = _stored(group_pairs(shared.select("id", "size", "token"), groups, percent), "pairs")
+    second = verified(others, rows, n, percent)
+    # now whole groups are vertices
+    joins = (second.join(groups.select(F.col("id").alias("x"), F.col("component").alias("gx")), "x", "left")
+             .join(groups.select(F.col("id").alias("y"), F.col("component").alias("gy")), "y", "left")
+             .select(F.coalesce("gx", "x").alias("x"), F.coalesce("gy", "y").alias("y")))
+    merged = components(joins)
+    top = merged.select(F.col("id").alias("component"), F.col("component").alias("top"))
+    named = (groups.join(top, "component", "left").select("id", F.coalesce("top", "component").alias("c"))
+             .union(merged.select("id", "component")).groupBy("id").agg(F.min("c").alias("c")))
+    classes = (known.where("size > 0 and id is not null").join(named, "id", "left")
+               .groupBy("size", "a", "b").agg(F.min("id").alias("m"), F.min("c").alias("c")))
+    least = classes.where("c is not null").groupBy("c").agg(F.min("m").alias("least"))
+    classes = classes.join(least, "c", "left").select("size", "a", "b", F.coalesce("least", "m").alias("group"))
+    out = known.join(classes, ["size", "a", "b"], "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"),
-                      F.coalesce("group", "id").alias("component_id"))
+                      F.when(F.col("id").isNotNull(), F.coalesce("group", "id")).alias("component_id"))
+
+
+def verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """The links among candidate pairs, by the whole shingle sets of their texts."""
+    ids = pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "id")
+    sets = _stored(shingle_sets(rows.join(ids, "id", "left_semi"), n), "tokens")
+    return verify(pairs, sets, percent)

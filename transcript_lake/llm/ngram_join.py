@@ -12,20 +12,25 @@ prefix filter:
 * With ``L = RARE + 1`` it is enough to look for ``RARE`` common shingles of
   the rare class, or one common *pair* of the frequent class: of ``L`` shared
   shingles either ``RARE`` are rare or two are frequent.
+* A shingle that is the k-th shared one at positions i and j of two sets in
+  the global order leaves at most ``k - 1 + min(size_x - i, size_y - j)``
+  shared ones, so positions rule out most pairs before any set is fetched.
 * Candidates are verified on the whole sets.
 
 Groups are found without listing all pairs of a group. Equal sets are one
 class, and each task indexes a class once. Then every shingle of the index
-proposes only links to the smallest document that holds it (linear in the
-index); verified links give first groups. After that, only shingles found in two or more
+proposes only links to the document that holds it at the smallest position,
+the one with the fewest shingles of its own (linear in the index); verified
+links give first groups. After that, only shingles found in two or more
 *groups* can still join anything: those in at most ``FREQUENT`` groups
 are the rare class and propose pairs from different groups, the others do so
 in combinations of two.
 So no link between different groups is missed, and a group of near copies
 costs no more than its size.
 
-The index holds 64-bit hashes and ids; texts are shuffled once, to build the
-sets of the documents that share anything. A shingle in a third of all
+The index holds 64-bit hashes, ids and positions; texts are never shuffled,
+only the sets of candidates are (found by a bit table of bounded size, which
+lets a few others through). A shingle in a third of all
 documents is pre-aggregated in every task and its join side split by AQE.
 
 Words are runs of characters other than white space, A-Z lower-cased. A text
@@ -55,6 +60,7 @@ N, PERCENT = 4, 85
 RARE = 3                    # common rare shingles that make a candidate
 BITS = 20                   # hash buckets that count shingles
 CHUNK = 1 << 16
+MOST_BITS = 27              # of the table that finds candidates' texts: 16 MB
 FREQUENT = 32               # groups that share a shingle of the rare class at most
 _SALT = np.uint64(0xA0761D6478BD642F)
 
@@ -172,18 +178,56 @@ def prefixes(docs: DataFrame, levels: np.ndarray, n: int, percent: int) -> DataF
     return docs.mapInArrow(run, "id long, size long, prefix array<long>")
 
 
-def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(id, tokens): the whole shingle sets."""
-    def run(batch, s):
-        rows, x = shingles(s, n)
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), T.lists(rows, x.view(np.int64), len(s), pa.int64())], names=["id", "tokens"])
+def bit_table(ids: DataFrame) -> np.ndarray:
+    """Bits at the top hash bits of ``ids``: 16 bits for each id, at most 2^MOST_BITS in all."""
+    n = ids.count()
+    bits = int(min(max(log2(16 * n + 1) + 1, 16), MOST_BITS))
+    chunk = 1 << 16
 
-    return T.map_slices(docs, run, "id long, tokens array<long>")
+    def mark(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(chunk, bool)
+        for batch in batches:
+            table[batch.column(1).to_numpy() % chunk] = True
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([np.packbits(table).tobytes()])],
+                                         names=["chunk", "bits"])
+
+    at = ids.select(F.shiftrightunsigned(F.xxhash64("id"), 64 - bits).alias("at")).distinct()
+    parts = (at.select(F.shiftright("at", 16).alias("chunk"), "at").groupBy("chunk")
+             .applyInArrow(mark, "chunk long, bits binary").collect())      # 2^bits bits in all
+    table = np.zeros((1 << bits) // 8, np.uint8)
+    for c, packed in parts:
+        table[c * chunk // 8:(c + 1) * chunk // 8] = np.frombuffer(packed, np.uint8)
+    return table
+
+
+def shingle_sets(docs: DataFrame, table: np.ndarray, n: int) -> DataFrame:
+    """(id, tokens): the whole shingle sets of the rows whose id is in the bit table."""
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+    bits = int(log2(len(table) * 8))
+    rows = docs.select("id", "text", F.shiftrightunsigned(F.xxhash64("id"), 64 - bits).alias("at"))
+
+    def run(batches):
+        t = shared.value
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((t[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+            for s in T.slices(batch.column(1)):
+                r, x = shingles(s, n)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(s.lo, len(s)), T.lists(r, x.view(np.int64), len(s), pa.int64())],
+                    names=["id", "tokens"])
+
+    return rows.mapInArrow(run, "id long, tokens array<long>")
+
+
+def _needed(percent: int, a: str = "sx", b: str = "sy") -> Column:
+    """Shared shingles that sets of two sizes need: percent of their union."""
+    return F.ceil(F.lit(percent) * (F.col(a) + F.col(b)) / F.lit(100 + percent))
 
 
-def _sizes_fit(percent: int, a: str = "sx", b: str = "sy") -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _left(size_a: str = "sx", at_a: str = "px", size_b: str = "sy", at_b: str = "py") -> Column:
+    """Shared shingles there can be from a shared one on."""
+    return F.least(F.col(size_a) - F.col(at_a), F.col(size_b) - F.col(at_b))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -198,16 +242,19 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def with_hubs(index: DataFrame) -> DataFrame:
-    """The rows (token, id, size) of shingles with two or more holders, and the smallest holder y."""
-    hub = (index.groupBy("token").agg(F.min("id").alias("y"), F.max("id").alias("last"))
-           .where("y < last").select("token", "y"))
+    """The rows (token, id, size, at) of shingles with two or more holders, and the first holder (y, sy, py)."""
+    hub = (index.groupBy("token").agg(F.count("*").alias("n"), F.min_by("id", "at").alias("y"),
+                                      F.min_by("size", "at").alias("sy"), F.min("at").alias("py"))
+           .where("n > 1").drop("n"))
     return index.join(hub, "token")
 
 
-def star_pairs(shared: DataFrame) -> DataFrame:
-    """(x, y): documents that share ``RARE`` shingles whose smallest holder is y."""
-    return (shared.where("id <> y").groupBy(F.col("id").alias("x"), "y").count()
-            .where(F.col("count") >= RARE).select("x", "y"))
+def star_pairs(shared: DataFrame, percent: int) -> DataFrame:
+    """(x, y): documents that share ``RARE`` shingles whose first holder is y."""
+    pairs = shared.withColumnsRenamed({"id": "x", "size": "sx", "at": "px"}).where("x <> y")
+    return (pairs.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("sx").alias("sx"), F.min("sy").alias("sy"),
+                                        F.min("px").alias("px"), F.min("py").alias("py"))
+            .where((F.col("n") >= RARE) & (_left() >= _needed(percent))).select("x", "y"))
 
 
 def _relabel(shared: DataFrame, groups: DataFrame) -> DataFrame:
@@ -216,11 +263,14 @@ def _relabel(shared: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _across(index: DataFrame, key: list[str], percent: int, least: int) -> DataFrame:
-    """Pairs with ``least`` common keys, of fitting sizes, from different groups."""
-    a = index.select(*key, F.col("id").alias("x"), F.col("g").alias("gx"), F.col("size").alias("sx"))
-    b = index.select(*key, F.col("id").alias("y"), F.col("g").alias("gy"), F.col("size").alias("sy"))
-    return (a.join(b, key).where((F.col("gx") < F.col("gy")) & _sizes_fit(percent))
-            .groupBy("x", "y").count().where(F.col("count") >= least).select("x", "y"))
+    """Pairs with ``least`` common keys at fitting positions, from different groups."""
+    side = lambda v: {"g": f"g{v}", "id": v, "size": f"s{v}", "at": f"p{v}"}
+    cols = [*key, "id", "g", "size", "at"]
+    a, b = (index.select(cols).withColumnsRenamed(side(v)) for v in "xy")
+    # each of the first RARE + 1 shared shingles has at most RARE before it
+    fits = (F.col("gx") < F.col("gy")) & (_left() + RARE >= _needed(percent))
+    return (a.join(b, key).where(fits).groupBy("x", "y")
+            .agg(F.count("*").alias("n")).where(F.col("n") >= least).select("x", "y"))
 
 
 def group_pairs(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -230,11 +280,13 @@ def group_pairs(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame
               .where("k > 1"))
     live = _stored(index.join(spread, "token"), "live")
     rare = _across(live.where(F.col("k") <= FREQUENT), ["token"], percent, RARE)
-    # a document's frequent shingles, at most its prefix; all combinations of two
+    # a document's frequent shingles, at most its prefix; all combinations of two, at the later one's position
     often = (live.where(F.col("k") > FREQUENT).groupBy("id", "g", "size")
-             .agg(F.array_sort(F.collect_set("token")).alias("ts")))
-    pairs = (often.select("id", "g", "size", "ts", F.posexplode("ts").alias("at", "t1"))
-             .select("id", "g", "size", "t1", F.explode(F.slice("ts", F.col("at") + 2, F.size("ts"))).alias("t2")))
+             .agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("ts")))
+    pairs = (often.select("id", "g", "size", "ts", F.posexplode("ts").alias("i", "a"))
+             .select("id", "g", "size", "a", F.explode(F.slice("ts", F.col("i") + 2, F.size("ts"))).alias("b"))
+             .select("id", "g", "size", F.col("a.token").alias("t1"), F.col("b.token").alias("t2"),
+                     F.col("b.at").alias("at")))
     common = (pairs.groupBy("t1", "t2").agg(F.min("g").alias("g0"), F.max("g").alias("g1"))
               .where("g0 < g1").select("t1", "t2"))
     return rare.union(_across(pairs.join(common, ["t1", "t2"]), ["t1", "t2"], percent, 1)).distinct()
@@ -252,12 +304,12 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT,
     known = known.where("chunk is null").select("id", "size", "a", "b")
 
     index = _stored(prefixes(rows.where("id is not null"), levels, n, percent), "prefix")
-    index = index.select("id", "size", F.explode("prefix").alias("token"))
+    index = index.select("id", "size", F.posexplode("prefix").alias("at", "token"))
     shared = _stored(with_hubs(index), "shared")
-    stars = _stored(star_pairs(shared), "pairs")
+    stars = _stored(star_pairs(shared, percent), "pairs")
     first = _stored(verified(stars, rows, n, percent), "links")
     groups = components(first)
-    others = _stored(group_pairs(shared.select("id", "size", "token"), groups, percent), "pairs")
+    others = _stored(group_pairs(shared.select("id", "size", "at", "token"), groups, percent), "pairs")
     second = verified(others, rows, n, percent)
     # now whole groups are vertices
     joins = (second.join(groups.select(F.col("id").alias("x"), F.col("component").alias("gx")), "x", "left")
@@ -279,5 +331,5 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT,
 def verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """The links among candidate pairs, by the whole shingle sets of their texts."""
     ids = pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "id")
-    sets = _stored(shingle_sets(rows.join(ids, "id", "left_semi"), n), "tokens")
+    sets = _stored(shingle_sets(rows, bit_table(ids), n), "tokens")
     return verify(pairs, sets, percent)

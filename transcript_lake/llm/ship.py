@@ -1,4 +1,4 @@
-"""Makes this package importable in Spark's Python workers, wherever they run."""
+"""Prepares a session for Python workers that handle whole texts."""
 
 from __future__ import annotations
 
@@ -10,12 +10,20 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: Whole texts are wide rows: Arrow's default of 10,000 to a batch is too many.
+ROWS_PER_BATCH = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _done: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors through Spark's own file transfer, once per application."""
+    """Send the package to the executors through Spark's own file transfer, once per application.
+
+    Where the session has Arrow's default batch size, it gets a smaller one.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, ROWS_PER_BATCH)
     if sc.applicationId in _done:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

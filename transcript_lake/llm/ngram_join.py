@@ -263,15 +263,13 @@ def _relabel(shared: DataFrame, groups: DataFrame) -> DataFrame:
     return named.withColumn("g", F.coalesce("component", "id")).drop("component")
 
 
-def _across(index: DataFrame, key: list[str], percent: int, least: int) -> DataFrame:
-    """Pairs with ``least`` common keys at fitting positions, from different groups."""
+def _across(index: DataFrame, key: list[str], percent: int, before: int) -> DataFrame:
+    """(x, y, left, need) of common keys from different groups, with ``before`` shared ones before at most."""
     side = lambda v: {"g": f"g{v}", "id": v, "size": f"s{v}", "at": f"p{v}"}
     cols = [*key, "id", "g", "size", "at"]
     a, b = (index.select(cols).withColumnsRenamed(side(v)) for v in "xy")
-    # each of the first RARE + 1 shared shingles has at most RARE before it
-    fits = (F.col("gx") < F.col("gy")) & (_left() + RARE >= _needed(percent))
-    return (a.join(b, key).where(fits).groupBy("x", "y")
-            .agg(F.count("*").alias("n")).where(F.col("n") >= least).select("x", "y"))
+    fits = (F.col("gx") < F.col("gy")) & (_left() + before >= _needed(percent))
+    return a.join(b, key).where(fits).select("x", "y", _left().alias("left"), _needed(percent).alias("need"))
 
 
 def group_pairs(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -281,16 +279,24 @@ def group_pairs(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame
               .where("k > 1"))
     live = _stored(index.join(spread, "token"), "live")
     rare = _across(live.where(F.col("k") <= FREQUENT), ["token"], percent, RARE)
-    # a document's frequent shingles, at most its prefix; all combinations of two, at the later one's position
+    # a document's frequent shingles, at most its prefix; all combinations of two, at the first one's position
     often = (live.where(F.col("k") > FREQUENT).groupBy("id", "g", "size")
              .agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("ts")))
     pairs = (often.select("id", "g", "size", "ts", F.posexplode("ts").alias("i", "a"))
              .select("id", "g", "size", "a", F.explode(F.slice("ts", F.col("i") + 2, F.size("ts"))).alias("b"))
              .select("id", "g", "size", F.col("a.token").alias("t1"), F.col("b.token").alias("t2"),
-                     F.col("b.at").alias("at")))
+                     F.col("a.at").alias("at")))
     common = (pairs.groupBy("t1", "t2").agg(F.min("g").alias("g0"), F.max("g").alias("g1"))
               .where("g0 < g1").select("t1", "t2"))
-    return rare.union(_across(pairs.join(common, ["t1", "t2"]), ["t1", "t2"], percent, 1)).distinct()
+    often = _across(pairs.join(common, ["t1", "t2"]), ["t1", "t2"], percent, RARE - 1)
+    none = F.lit(None).cast("long")
+    both = (rare.select("x", "y", F.lit(1).alias("r"), F.col("left").alias("lr"), none.alias("lf"), "need")
+            .union(often.select("x", "y", F.lit(0), none, "left", "need")))
+    # before the first rare one lies at most one other; before the first frequent one only the rare ones found
+    return (both.groupBy("x", "y").agg(F.sum("r").alias("r"), F.max("lr").alias("lr"), F.max("lf").alias("lf"),
+                                       F.max("need").alias("need"))
+            .where(((F.col("r") >= RARE) & (F.col("lr") + 1 >= F.col("need")))
+                   | (F.col("lf") + F.col("r") >= F.col("need"))).select("x", "y"))
 
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT,

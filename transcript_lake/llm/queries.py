@@ -89,10 +89,11 @@ def op9_token_count(spark, sf_dir):
 
 
 def op10_sharding(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
     return sharding.shard(docs, 8).select(
-        "doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
-        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (

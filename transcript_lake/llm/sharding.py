@@ -29,7 +29,7 @@ from ..session import shared_dir
 
 PROBES = 16
 TOLERANCE = 0.0005          # of a shard's bytes
-PART_ROWS = 100_000
+PART_BYTES = 64 << 20        # of text, for one task after the exchange
 _LOW, _TOP = -(1 << 63), (1 << 63) - 1
 
 
@@ -112,7 +112,7 @@ def splitters(keys: DataFrame, shares: list[float], tolerance: float = TOLERANCE
 
 
 def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text: str = "text",
-          tolerance: float = TOLERANCE, part_rows: int = PART_ROWS) -> DataFrame:
+          tolerance: float = TOLERANCE, part_bytes: int = PART_BYTES) -> DataFrame:
     """``docs`` with ``size``, ``shard`` and ``slot``: shards of near-equal bytes, sorted by key.
 
     The keys (id, hash, size; no text) are written once to the shared folder,
@@ -122,8 +122,8 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text: str =
     path = f"{shared_dir(spark)}/shard-keys-{uuid.uuid4().hex}"
     _keyed(docs, id_col, text).select("__h", "__i", "__size").write.parquet(path)
     keys = spark.read.parquet(path)
-    n = keys.count()
-    per = max(1, ceil(n / shards / part_rows))            # parts of a shard
+    total = keys.agg(F.sum("__size")).first()[0] or 0
+    per = max(1, ceil(total / shards / part_bytes))       # parts of a shard
     cuts = splitters(keys, [k / shards for k in range(1, shards)], tolerance)
     inner: list[tuple[int, int]] = []
     if per > 1:                                           # rough cuts inside the shards: any will do

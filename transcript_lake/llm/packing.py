@@ -34,7 +34,7 @@ from ..session import shared_dir
 from . import textvec as T
 
 WINDOW = 1024
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 10_000
 _encoders: dict[str, object] = {}
 
 

@@ -15,6 +15,9 @@ prefix filter:
 * A shingle that is the k-th shared one at positions i and j of two sets in
   the global order leaves at most ``k - 1 + min(size_x - i, size_y - j)``
   shared ones, so positions rule out most pairs before any set is fetched.
+* A set's *parity* is 256 bits, each telling whether an odd number of its
+  shingles hash there. Parities differ in at most as many bits as the sets do
+  in shingles, which rules out most other pairs that are not similar.
 * Candidates are verified on the whole sets.
 
 Groups are found without listing all pairs of a group. Equal sets are one
@@ -62,6 +65,7 @@ BITS = 20                   # hash buckets that count shingles
 CHUNK = 1 << 16
 MOST_BITS = 27              # of the table that finds candidates' texts: 16 MB
 FREQUENT = 32               # groups that share a shingle of the rare class at most
+PARITY = ["b0", "b1", "b2", "b3"]
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -95,6 +99,13 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _parity(rows: np.ndarray, x: np.ndarray, n: int) -> list[pa.Array]:
+    """256 bits per row as four long columns."""
+    odd = np.bincount(rows * 256 + (x & np.uint64(255)).astype(np.int64), minlength=n * 256) & 1
+    longs = np.packbits(odd.astype(np.uint8).reshape(n, 256), axis=1).view(np.int64)
+    return [pa.array(longs[:, j].copy()) for j in range(4)]
+
+
 def signatures(docs: DataFrame, n: int, bits: int = BITS) -> DataFrame:
     """One pass: (id, size, a, b) per text, and the task's bucket counts in chunks.
 
@@ -147,7 +158,7 @@ def bucket_classes(rows: DataFrame, bits: int = BITS) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(id, size, prefix): extended prefixes in the global order, once per task for equal sets."""
+    """(id, size, prefix, parity): extended prefixes in the global order, once per task for equal sets."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     bits = int(log2(len(levels)))
@@ -164,6 +175,7 @@ def prefixes(docs: DataFrame, levels: np.ndarray, n: int, percent: int) -> DataF
                                 for m, key in zip(size.tolist(), sums)], bool)
                 live = new[rows]
                 rows, x = rows[live], x[live]
+                parity = _parity(rows, x, k)
                 level = shared.value[(x >> np.uint64(64 - bits)).astype(np.int64)]
                 order = np.lexsort((x, level, rows))
                 rows, x = rows[order], x[order]
@@ -172,11 +184,11 @@ def prefixes(docs: DataFrame, levels: np.ndarray, n: int, percent: int) -> DataF
                 keep = np.arange(len(x)) - cut[rows] < want[rows]
                 out = pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(s.lo, k), pa.array(size),
-                     T.lists(rows[keep], x[keep].view(np.int64), k, pa.int64())],
-                    names=["id", "size", "prefix"])
+                     T.lists(rows[keep], x[keep].view(np.int64), k, pa.int64()), *parity],
+                    names=["id", "size", "prefix", *PARITY])
                 yield out.filter(pa.array(new))
 
-    return docs.mapInArrow(run, "id long, size long, prefix array<long>")
+    return docs.mapInArrow(run, "id long, size long, prefix array<long>, " + ", ".join(f"{b} long" for b in PARITY))
 
 
 def bit_table(ids: DataFrame) -> np.ndarray:
@@ -242,6 +254,19 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select("x", "y"))
 
 
+def _alike(percent: int) -> Column:
+    """The parities leave room for enough shared shingles."""
+    apart = sum((F.bit_count(F.col(f"{b}x").bitwiseXOR(F.col(f"{b}y"))) for b in PARITY), F.lit(0))
+    return apart <= F.col("sx") + F.col("sy") - 2 * _needed(percent)
+
+
+def plausible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) that sizes and parities do not rule out."""
+    side = lambda v: known.select(F.col("id").alias(v), F.col("size").alias(f"s{v}"),
+                                  *[F.col(b).alias(f"{b}{v}") for b in PARITY])
+    return pairs.join(side("x"), "x").join(side("y"), "y").where(_alike(percent)).select("x", "y").distinct()
+
+
 def with_hubs(index: DataFrame) -> DataFrame:
     """The rows (token, id, size, at) of shingles with two or more holders, and the first holder (y, sy, py)."""
     hub = (index.groupBy("token").agg(F.count("*").alias("n"), F.min_by("id", "at").alias("y"),
@@ -265,26 +290,26 @@ def _relabel(shared: DataFrame, groups: DataFrame) -> DataFrame:
 
 def _across(index: DataFrame, key: list[str], percent: int, before: int) -> DataFrame:
     """(x, y, left, need) of common keys from different groups, with ``before`` shared ones before at most."""
-    side = lambda v: {"g": f"g{v}", "id": v, "size": f"s{v}", "at": f"p{v}"}
-    cols = [*key, "id", "g", "size", "at"]
+    side = lambda v: {"g": f"g{v}", "id": v, "size": f"s{v}", "at": f"p{v}"} | {b: f"{b}{v}" for b in PARITY}
+    cols = [*key, "id", "g", "size", "at", *PARITY]
     a, b = (index.select(cols).withColumnsRenamed(side(v)) for v in "xy")
-    fits = (F.col("gx") < F.col("gy")) & (_left() + before >= _needed(percent))
+    fits = (F.col("gx") < F.col("gy")) & (_left() + before >= _needed(percent)) & _alike(percent)
     return a.join(b, key).where(fits).select("x", "y", _left().alias("left"), _needed(percent).alias("need"))
 
 
-def group_pairs(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def group_pairs(shared: DataFrame, groups: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs between different groups, by single rare and paired frequent shingles."""
     index = _relabel(shared, groups)
     spread = (index.groupBy("token", "g").count().groupBy("token").agg(F.count("*").alias("k"))
               .where("k > 1"))
-    live = _stored(index.join(spread, "token"), "live")
+    live = _stored(index.join(spread, "token").join(parities, "id"), "live")
     rare = _across(live.where(F.col("k") <= FREQUENT), ["token"], percent, RARE)
     # a document's frequent shingles, at most its prefix; all combinations of two, at the first one's position
-    often = (live.where(F.col("k") > FREQUENT).groupBy("id", "g", "size")
+    often = (live.where(F.col("k") > FREQUENT).groupBy("id", "g", "size", *PARITY)
              .agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("ts")))
-    pairs = (often.select("id", "g", "size", "ts", F.posexplode("ts").alias("i", "a"))
-             .select("id", "g", "size", "a", F.explode(F.slice("ts", F.col("i") + 2, F.size("ts"))).alias("b"))
-             .select("id", "g", "size", F.col("a.token").alias("t1"), F.col("b.token").alias("t2"),
+    pairs = (often.select("id", "g", "size", *PARITY, "ts", F.posexplode("ts").alias("i", "a"))
+             .select("id", "g", "size", *PARITY, "a", F.explode(F.slice("ts", F.col("i") + 2, F.size("ts"))).alias("b"))
+             .select("id", "g", "size", *PARITY, F.col("a.token").alias("t1"), F.col("b.token").alias("t2"),
                      F.col("a.at").alias("at")))
     common = (pairs.groupBy("t1", "t2").agg(F.min("g").alias("g0"), F.max("g").alias("g1"))
               .where("g0 < g1").select("t1", "t2"))
@@ -311,12 +336,14 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT,
     known = known.where("chunk is null").select("id", "size", "a", "b")
 
     index = _stored(prefixes(rows.where("id is not null"), levels, n, percent), "prefix")
+    whole = index.select("id", "size", *PARITY).dropDuplicates(["id"])
     index = index.select("id", "size", F.posexplode("prefix").alias("at", "token"))
     shared = _stored(with_hubs(index), "shared")
-    stars = _stored(star_pairs(shared, percent), "pairs")
+    stars = _stored(plausible(star_pairs(shared, percent), whole, percent), "pairs")
     first = _stored(verified(stars, rows, n, percent), "links")
     groups = components(first)
-    others = _stored(group_pairs(shared.select("id", "size", "at", "token"), groups, percent), "pairs")
+    others = _stored(group_pairs(shared.select("id", "size", "at", "token"), groups,
+                                 whole.drop("size"), percent), "pairs")
     second = verified(others, rows, n, percent)
     # now whole groups are vertices
     joins = (second.join(groups.select(F.col("id").alias("x"), F.col("component").alias("gx")), "x", "left")

@@ -36,6 +36,7 @@ from . import textvec as T
 WINDOW = 1024
 BUCKET_ROWS = 10_000
 _encoders: dict[str, object] = {}
+_tokenizers: dict[str, object] = {}
 
 
 # -- tokens --------------------------------------------------------------------
@@ -67,6 +68,16 @@ def _as_ranks(spec: dict) -> dict[bytes, int] | None:
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def _whole(path: str):
+    """The file's own tokenizer; built when it is needed, for it is large."""
+    if path not in _tokenizers:
+        from tokenizers import Tokenizer
+
+        _tokenizers[path] = Tokenizer.from_file(path)
+        _tokenizers[path].encode_special_tokens = True
+    return lambda text: _tokenizers[path].encode(text, add_special_tokens=False).ids
+
+
 def encoder(path: str):
     """text -> ids for a tokenizers file; special tokens' strings are ordinary text.
 
@@ -74,15 +85,10 @@ def encoder(path: str):
     which gives the same ids several times faster (tests compare the two).
     """
     if path not in _encoders:
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             ranks = _as_ranks(json.load(f))
-        slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
-        plain = lambda text: slow.encode(text, add_special_tokens=False).ids
         if ranks is None:
-            _encoders[path] = plain
+            _encoders[path] = _whole(path)
         else:
             import tiktoken
 
@@ -92,7 +98,7 @@ def encoder(path: str):
                 try:
                     return fast.encode_ordinary(text)
                 except Exception:       # its pattern engine gives up on some very long runs
-                    return plain(text)
+                    return _whole(path)(text)
 
             _encoders[path] = encode
     return _encoders[path]

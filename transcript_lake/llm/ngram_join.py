@@ -289,11 +289,15 @@ def _relabel(shared: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _across(index: DataFrame, key: list[str], percent: int, before: int) -> DataFrame:
-    """(x, y, left, need) of common keys from different groups, with ``before`` shared ones before at most."""
-    side = lambda v: {"g": f"g{v}", "id": v, "size": f"s{v}", "at": f"p{v}"} | {b: f"{b}{v}" for b in PARITY}
-    cols = [*key, "id", "g", "size", "at", *PARITY]
+    """(x, y, left, need) of common keys from different groups.
+
+    At most ``before`` shared shingles lie before position ``at``, and ``RARE`` before ``later``.
+    """
+    side = lambda v: {"g": f"g{v}", "id": v, "size": f"s{v}", "at": f"p{v}", "later": f"q{v}"} | {b: f"{b}{v}" for b in PARITY}
+    cols = [*key, "id", "g", "size", "at", "later", *PARITY]
     a, b = (index.select(cols).withColumnsRenamed(side(v)) for v in "xy")
-    fits = (F.col("gx") < F.col("gy")) & (_left() + before >= _needed(percent)) & _alike(percent)
+    fits = (F.col("gx") < F.col("gy")) & (_left() + before >= _needed(percent))
+    fits = fits & (_left(at_a="qx", at_b="qy") + RARE >= _needed(percent)) & _alike(percent)
     return a.join(b, key).where(fits).select("x", "y", _left().alias("left"), _needed(percent).alias("need"))
 
 
@@ -303,14 +307,14 @@ def group_pairs(shared: DataFrame, groups: DataFrame, parities: DataFrame, perce
     spread = (index.groupBy("token", "g").count().groupBy("token").agg(F.count("*").alias("k"))
               .where("k > 1"))
     live = _stored(index.join(spread, "token").join(parities, "id"), "live")
-    rare = _across(live.where(F.col("k") <= FREQUENT), ["token"], percent, RARE)
-    # a document's frequent shingles, at most its prefix; all combinations of two, at the first one's position
+    rare = _across(live.where(F.col("k") <= FREQUENT).withColumn("later", F.col("at")), ["token"], percent, RARE)
+    # a document's frequent shingles, at most its prefix; all combinations of two
     often = (live.where(F.col("k") > FREQUENT).groupBy("id", "g", "size", *PARITY)
              .agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("ts")))
     pairs = (often.select("id", "g", "size", *PARITY, "ts", F.posexplode("ts").alias("i", "a"))
              .select("id", "g", "size", *PARITY, "a", F.explode(F.slice("ts", F.col("i") + 2, F.size("ts"))).alias("b"))
              .select("id", "g", "size", *PARITY, F.col("a.token").alias("t1"), F.col("b.token").alias("t2"),
-                     F.col("a.at").alias("at")))
+                     F.col("a.at").alias("at"), F.col("b.at").alias("later")))
     common = (pairs.groupBy("t1", "t2").agg(F.min("g").alias("g0"), F.max("g").alias("g1"))
               .where("g0 < g1").select("t1", "t2"))
     often = _across(pairs.join(common, ["t1", "t2"]), ["t1", "t2"], percent, RARE - 1)

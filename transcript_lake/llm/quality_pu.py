@@ -113,8 +113,8 @@ def class_prior(good: np.ndarray, mixed: np.ndarray, least: float = 0.05) -> flo
     return float(np.clip(u[best] / p[best], least, 1 - 0.01))
 
 
-def nn_pu(cp: np.ndarray, cu: np.ndarray, n_weights: int, prior: float, steps: int = 300,
-          rate: float = 0.2, l2: float = 1e-3) -> tuple[np.ndarray, float]:
+def nn_pu(cp: np.ndarray, cu: np.ndarray, n_weights: int, prior: float, steps: int = 800,
+          rate: float = 0.2, l2: float = 1e-5) -> tuple[np.ndarray, float]:
     """Minimise the non-negative PU risk over bin codes by Adam, all rows each step."""
     w, m, v = (np.zeros(n_weights + 1) for _ in range(3))
     w[-1] = np.log(prior / (1 - prior))
@@ -149,9 +149,9 @@ def fit_arrays(good: np.ndarray, mixed: np.ndarray, prior: float | None = None)
         edges.append(q[:BINS])
     model = Model(edges, np.zeros(width), 0.0, 0.5)
     cp, cu = model.codes(good), model.codes(mixed)
-    if prior is None:                       # a first fit ranks the texts, then the prior follows
-        w, b = nn_pu(cp, cu, width, 0.5)
-        prior = class_prior(w[cp].sum(1), w[cu].sum(1))
+    if prior is None:       # a first fit on half of the rows ranks the other half, where the prior follows
+        w, _ = nn_pu(cp[::2], cu[::2], width, 0.5)
+        prior = class_prior(w[cp[1::2]].sum(1), w[cu[1::2]].sum(1)) if min(len(cp), len(cu)) > 1 else 0.5
     w, b = nn_pu(cp, cu, width, prior)
     return Model(edges, w, b, prior)
 

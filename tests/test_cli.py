@@ -34,9 +34,24 @@ def test_cli_jobs(spark, tmp, capsys):
 
 
 def test_cli_upload_accepts_clean_rows(spark, tmp, capsys):
-    from transcript_lake.sources.tables import UPLOAD_CONTENT, upload_batch
+    from transcript_lake.sources.tables import upload_batch
     table = os.path.join(tmp, "transcripts")
     rows = os.path.join(tmp, "rows")
-    upload_batch(spark, UPLOAD_CONTENT, AS_OF).write.parquet(rows)
+    upload_batch(spark, ["A first short note.", "A second, longer note on lakes.", "And a third."], AS_OF).write.parquet(rows)
     assert main(["--as-of", AS_OF, "upload", "--table", table, "--rows", rows], spark) == 0
     assert capsys.readouterr().out.strip().startswith("3 rows dated today")
+
+
+def test_reports_are_whole(spark, tmp, capsys):
+    """More rows than any screenful: every error and every identity is printed, with totals."""
+    from pyspark.sql import functions as F
+
+    from transcript_lake.cli import _print_all, main
+
+    spark.range(50).select(F.col("id").cast("string").alias("id"), F.lit("2024").alias("created_at"),
+                           F.lit("x").alias("content")).write.parquet(f"{tmp}/rows")
+    assert main(["upload", "--table", f"{tmp}/t", "--rows", f"{tmp}/rows"], spark) == 1
+    out = capsys.readouterr().out
+    assert out.count("invalid") == 50 and "50 bad rows" in out
+    _print_all(spark.range(300))
+    assert "300 rows" in capsys.readouterr().out

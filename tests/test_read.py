@@ -68,3 +68,35 @@ def test_default_clock_is_utc_in_any_session_zone(spark):
             assert abs((now - got).total_seconds()) < 120
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_flat_folder_reads_like_a_partitioned_one(spark, tmp):
+    """A folder written without date partitions keeps all its rows under every window."""
+    from pyspark.sql import functions as F
+
+    from transcript_lake.operators import read as RD
+    from transcript_lake.sources import sinks as SK
+    from transcript_lake.sources.tables import read_table
+
+    rows = spark.range(100).select(
+        F.concat(F.lit("t"), F.col("id")).alias("id"),
+        F.expr("timestamp_ntz'2024-01-10 12:00:00' - make_dt_interval(cast(id % 9 as int))").alias("created_at"),
+        F.lit("some text").alias("content"))
+    rows.write.parquet(f"{tmp}/flat")
+    SK.append(rows, f"{tmp}/dated")
+    clock = F.expr("timestamp_ntz'2024-01-10 23:00:00'")
+    for of in (lambda t: RD.recent(t, 30, clock).count(), lambda t: RD.rows_on_day(t, clock).first()[0],
+               lambda t: sorted(map(tuple, RD.daily_stats(t).collect()))):
+        flat, dated = (of(read_table(spark, f"{tmp}/{n}")) for n in ("flat", "dated"))
+        assert flat == dated and flat
+
+
+def test_upload_times_need_the_exact_form(spark):
+    from transcript_lake.sources import sinks as SK
+
+    times = ["2024-01-01 00:00:00", "2024-01-01 00:00:00+05:00", "2024-01-01T00:00:00Z", "2024", "2024-01",
+             "2024-13-01 00:00:00", " 2024-01-01 00:00:00"]
+    raw = spark.createDataFrame([(str(i), t, "x") for i, t in enumerate(times)], "id string, created_at string, content string")
+    good, bad = SK.validate(raw)
+    assert [r.id for r in good.collect()] == ["0"]
+    assert {r.id for r in bad.collect()} == {"1", "2", "3", "4", "5", "6"}

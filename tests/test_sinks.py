@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from transcript_lake.sources import sinks as SK
 from transcript_lake.sources.schemas import PROCESSED, RAW_TRANSCRIPTS, TRANSCRIPTS
-from transcript_lake.sources.tables import UPLOAD_CONTENT, literal_row, read_table, upload_batch
+from transcript_lake.sources.tables import literal_row, read_table, upload_batch
 
 AS_OF = dt.datetime(2024, 3, 31, 12, 0, 0)
 SCHEMA = "id string, created_at timestamp_ntz, content string"
@@ -105,7 +105,7 @@ def test_upload_batch_then_count_today(spark, tmp):
     path = os.path.join(tmp, "t")
     SK.append(_df(spark, 10), path)
     before = rows_on_day(read_table(spark, path), AS_OF).collect()[0].row_count
-    batch = upload_batch(spark, UPLOAD_CONTENT, AS_OF)
+    batch = upload_batch(spark, ["A first short note.", "A second, longer note on lakes.", "And a third."], AS_OF)
     ids = _ids(batch)
     assert len(set(ids)) == 3
     bad = SK.checked_append(batch, path)

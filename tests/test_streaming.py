@@ -116,3 +116,11 @@ def test_late_entries_behind_the_watermark_are_dropped(spark, tmp):
         got[k] = max(got.get(k, 0), r.suspicious_count)
     assert got == {"10:00": 1, "12:00": 3}
     assert dropped == 1
+
+
+def test_quiet_update_log_has_no_counts(spark, tmp):
+    from transcript_lake.streaming.suspicious import current_counts
+
+    os.makedirs(f"{tmp}/log")
+    got = current_counts(spark, f"{tmp}/log")
+    assert got.count() == 0 and got.schema["window_start"].dataType.simpleString() == "timestamp_ntz"

@@ -26,14 +26,25 @@ from .sources.schemas import PROCESSED, RAW_TRANSCRIPTS
 from .sources.tables import read_table
 
 
+def _print_all(df) -> None:
+    """Every row, one partition at a time on the driver, and their number."""
+    n = 0
+    print(" | ".join(df.columns))
+    for n, r in enumerate(df.toLocalIterator(), 1):
+        print(" | ".join(str(v) for v in r))
+    print(f"{n} rows")
+
+
 def _upload(spark, a) -> int:
     raw = spark.read.schema(RAW_TRANSCRIPTS).format(a.format).load(a.rows)
     bad = SK.checked_append(raw, a.table)
-    errors = bad.limit(20).collect()
-    if errors:
-        print("upload refused; first errors:")
-        for r in errors:
-            print(f"  {r.id}: {r.errors}")
+    n = 0
+    for n, r in enumerate(bad.toLocalIterator(), 1):        # one partition at a time
+        if n == 1:
+            print("upload refused:")
+        print(f"  {r.id}: {r.errors}")
+    if n:
+        print(f"{n} bad rows")
         return 1
     print(RD.rows_on_day(read_table(spark, a.table), a.as_of).collect()[0].row_count,
           "rows dated today")
@@ -57,9 +68,9 @@ def _pipeline(spark, a) -> int:
 
 def _access(spark, a) -> int:
     probes = spark.read.parquet(a.probes)
-    AU.probe_report(probes).show(200, truncate=False)
+    _print_all(AU.probe_report(probes))
     levels = AU.access_level(probes)
-    levels.show(200, truncate=False)
+    _print_all(levels)
     return 0 if levels.filter("access_level <> 'NONE'").limit(1).count() else 1
 
 

@@ -76,6 +76,10 @@ def _with_partition(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df, []
 
 
+#: Fixed value: the form of an uploaded time, ``%Y-%m-%d %H:%M:%S``.
+UPLOAD_TIME = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
+
+
 def validate(raw: DataFrame, schema: T.StructType = TRANSCRIPTS) -> tuple[DataFrame, DataFrame]:
     """Split rows into (good, errors) in one projection.
 
@@ -88,6 +92,8 @@ def validate(raw: DataFrame, schema: T.StructType = TRANSCRIPTS) -> tuple[DataFr
         src = F.col(f.name)
         same = raw.schema[f.name].dataType == f.dataType
         val = src if same else src.try_cast(f.dataType)
+        if not same and f.dataType == T.TimestampNTZType() and raw.schema[f.name].dataType == T.StringType():
+            val = F.when(src.rlike(UPLOAD_TIME), val)       # no zones, no partial dates
         typed.append(val.alias(f.name))
         if not f.nullable:
             checks.append(F.when(src.isNull(), F.lit(f"{f.name}: REQUIRED")))

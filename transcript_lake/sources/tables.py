@@ -19,13 +19,6 @@ SAMPLE_CONTENT = [
 ]
 SAMPLE_ID_PREFIX = "ml-test-"
 
-# The three texts of the upload check.
-UPLOAD_CONTENT = [
-    "This is a test transcript for ML training data.",
-    "Another test transcript with some technical discussion about machine learning models.",
-    "Meeting notes: Discussed the new NLP pipeline architecture and performance metrics.",
-]
-
 
 def stored_schema(schema: T.StructType) -> T.StructType:
     """Schema of a written table: the declared fields plus the date partition."""
@@ -35,15 +28,28 @@ def stored_schema(schema: T.StructType) -> T.StructType:
     return T.StructType(schema.fields + [T.StructField(PARTITION_COLUMN, T.DateType(), True)])
 
 
+def is_partitioned(spark: SparkSession, path: str, column: str = PARTITION_COLUMN) -> bool:
+    """Whether the folder's immediate children are ``column=value`` directories."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        return True                         # nothing there: let the reader say so
+    return any(f.getPath().getName().startswith(f"{column}=") for f in fs.listStatus(hadoop))
+
+
 def read_table(spark: SparkSession, where: str, schema: T.StructType = TRANSCRIPTS) -> DataFrame:
     """Full scan of a table given by catalog name or path.
 
     Paths are read with the declared schema, so no file footers are opened
-    to infer it; the date partition column comes along for pruning.
+    to infer it; the date partition column comes along for pruning. A folder
+    written without date partitions gets the column from ``created_at``.
     """
     if "/" not in where:
         return spark.table(where)
-    return spark.read.schema(stored_schema(schema)).parquet(where)
+    stored = stored_schema(schema)
+    if stored != schema and not is_partitioned(spark, where):
+        return spark.read.schema(schema).parquet(where).withColumn(PARTITION_COLUMN, F.to_date("created_at"))
+    return spark.read.schema(stored).parquet(where)
 
 
 def sample_rows(spark: SparkSession, as_of=None) -> DataFrame:

@@ -85,6 +85,7 @@ def start_suspicious_updates(spark: SparkSession, source_dir: str, log_path: str
 def current_counts(spark: SparkSession, log_path: str) -> DataFrame:
     """Latest count per window from the update log (one aggregation; each
     window's updates are few, one per micro-batch that touched it)."""
-    log = spark.read.parquet(log_path)
+    schema = f"window_start timestamp_ntz, window_end timestamp_ntz, suspicious_count long, {UPDATE_BATCH} long"
+    log = spark.read.schema(schema).parquet(log_path)        # declared: a quiet log has no file yet
     return (log.groupBy("window_start", "window_end")
             .agg(F.max_by("suspicious_count", UPDATE_BATCH).alias("suspicious_count")))

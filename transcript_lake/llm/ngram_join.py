@@ -304,9 +304,13 @@ def _across(index: DataFrame, key: list[str], percent: int, before: int) -> Data
 def group_pairs(shared: DataFrame, groups: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs between different groups, by single rare and paired frequent shingles."""
     index = _relabel(shared, groups)
-    spread = (index.groupBy("token", "g").count().groupBy("token").agg(F.count("*").alias("k"))
-              .where("k > 1"))
-    live = _stored(index.join(spread, "token").join(parities, "id"), "live")
+    spread = (index.groupBy("token", "g").agg(F.min("size").alias("s")).groupBy("token")
+              .agg(F.count("*").alias("k"), F.min("s").alias("least")).where("k > 1"))
+    # the smallest partner a holder can have bounds how far back its position may be
+    index = (index.join(spread, "token")
+             .withColumn("least", F.greatest("least", F.ceil(F.lit(percent) * F.col("size") / F.lit(100))))
+             .where(F.col("size") - F.col("at") + RARE >= _needed(percent, "size", "least")))
+    live = _stored(index.join(parities, "id"), "live")
     rare = _across(live.where(F.col("k") <= FREQUENT).withColumn("later", F.col("at")), ["token"], percent, RARE)
     # a document's frequent shingles, at most its prefix; all combinations of two
     often = (live.where(F.col("k") > FREQUENT).groupBy("id", "g", "size", *PARITY)

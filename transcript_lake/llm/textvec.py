@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 
 from .ship import ship
 
-SLICE_BYTES = 2 << 20       # rows are handled in slices of about this much text
-_BLOCK = 1 << 20            # bytes hashed at once, cut at a separator
+SLICE_BYTES = 1 << 19       # rows are handled in slices of about this much text
+_BLOCK = 1 << 18            # bytes hashed at once, cut at a separator
 _P = 0x9E3779B97F4A7C15 | 1
 _M64 = (1 << 64) - 1
 _C = np.uint64(0xD6E8FEB86659FD93)

@@ -1,26 +1,25 @@
 """Writes and table changes.
 
 Tables are Parquet folders partitioned by ``created_date`` when the schema
-has ``created_at``. Replace and delete write the new contents and then swap
-them in with Spark's overwrite; on object stores that is not atomic (readers
-during the swap may see no rows) - use a table format with transactions where
-that matters.
+has ``created_at``. Replace, delete and create-as write the new contents in
+full beside the old ones and then switch by renaming, so a failed job leaves the
+old rows. A path's switch is two renames: a reader between them may find no
+table, and object stores copy instead of renaming - use a table format with
+transactions where that matters.
 """
 
 from __future__ import annotations
 
-import contextlib
-import io
-import re
-from functools import reduce
+import json
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.time import as_of_col, millis
 from ..operators.read import prune_dates
-from ..session import shared_dir
+from ..session import new_table_path, shared_dir
 from .schemas import PARTITION_COLUMN, TRANSCRIPTS
 from .tables import read_table
 
@@ -51,23 +50,6 @@ def require(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select([guarded.get(c, F.col(c)).alias(c) for c in df.columns])
 
 
-def _check_required(df: DataFrame, schema: T.StructType) -> None:
-    """Raise before writing if any REQUIRED value is missing.
-
-    Written as a filter plus ``limit(1)`` so that ``IsNull`` reaches the
-    Parquet scan: row groups whose statistics show no NULLs are skipped
-    without decoding, and the scan stops at the first offending row.
-    """
-    missing = _required_missing(schema)
-    if not missing:
-        return
-    any_missing = reduce(lambda a, b: a | b, [m for _, m in missing])
-    hit = df.filter(any_missing).select([m.alias(n) for n, m in missing]).limit(1).collect()
-    if hit:
-        bad = [n for n, _ in missing if hit[0][n]]
-        raise ValueError("REQUIRED value missing in: " + ", ".join(bad))
-
-
 def _with_partition(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """Add the date partition column when the table has a typed created_at."""
     types = dict(df.dtypes)
@@ -125,7 +107,7 @@ def append(df: DataFrame, where: str, schema: T.StructType = TRANSCRIPTS) -> Non
     elif df.sparkSession.catalog.tableExists(where):
         out.write.insertInto(where)
     else:
-        out.write.mode("append").partitionBy(*parts).saveAsTable(where)
+        out.write.partitionBy(*parts).option("path", new_table_path(df.sparkSession, where)).saveAsTable(where)
 
 
 def checked_append(raw: DataFrame, path: str, schema: T.StructType = TRANSCRIPTS,
@@ -142,81 +124,99 @@ def checked_append(raw: DataFrame, path: str, schema: T.StructType = TRANSCRIPTS
     return bad
 
 
-def _norm_path(p: str) -> str:
-    return p.rstrip("/").split("://")[-1].replace("file:", "")
+def _quoted(name: str) -> str:
+    return name if "`" in name else ".".join(f"`{part}`" for part in name.split("."))
 
 
-def _plan_text(df: DataFrame) -> str:
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        df.explain(mode="formatted")
-    return buf.getvalue()
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _reads(df: DataFrame, path: str) -> bool:
-    """Whether ``df`` reads anything below ``path``.
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
 
-    Checks the input files of the main plan (Spark's own listing) and the
-    scan locations printed for the whole plan, subqueries included: a
-    subquery that reads the target would otherwise see its files deleted
-    before it runs.
-    """
-    target = _norm_path(path)
-    if any(_norm_path(f).startswith(target + "/") for f in df.inputFiles()):
-        return True
-    return re.search(re.escape(target) + r"(?=[\]/,\s]|$)", _plan_text(df)) is not None
 
+def _beside(path: str, what: str) -> str:
+    """A fresh folder next to ``path``; the leading ``_`` hides it from readers of the parent."""
+    parent, _, name = path.rstrip("/").rpartition("/")
+    return f"{parent}/_{name}.{what}-{uuid.uuid4().hex[:12]}"
 
-def _cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` in the shared checkpoint folder.
 
-    Needed before overwriting a path the plan reads: a path write does not
-    refuse that case, it deletes the inputs first. The checkpoint is a
-    reliable one, so it survives lost executors.
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _swap(spark: SparkSession, staged: str, path: str) -> None:
+    """Put the staged folder in place of ``path``; the old one goes only once the new one is there."""
+    path = path.rstrip("/")
+    fs, new = _hadoop(spark, staged)
+    _, at = _hadoop(spark, path)
+    _, old = _hadoop(spark, _beside(path, "old"))
+    had = fs.exists(at)
+    if had and not fs.rename(at, old):
+        raise OSError(f"could not set {path} aside; it is unchanged, new rows are in {staged}")
+    if not fs.rename(new, at):
+        if had:
+            fs.rename(old, at)
+        raise OSError(f"could not move {staged} to {path}; the old rows are in place")
+    if had:
+        fs.delete(old, True)
+    spark.catalog.refreshByPath(path)
 
 
-def replace(df: DataFrame, where: str, schema: T.StructType,
-            reads_target: bool | None = None) -> None:
+def replace(df: DataFrame, where: str, schema: T.StructType) -> None:
     """Truncate and load with the declared schema (K2); ``where`` is a path
     or a catalog table name.
 
-    ``reads_target``: whether ``df`` is computed from the target itself; when
-    ``None`` it is found from the plan. A missing REQUIRED value raises before
-    any old file is removed: checked while taking the checkpoint when the
-    target is read, else by a pass over the required columns first.
+    One pass: all rows are written to a folder beside the table, REQUIRED
+    values checked on the way, and the folder is renamed into place. A job that
+    fails leaves the old rows. ``df`` may read the table it replaces, also
+    through subqueries: the old files stay until the new ones are complete.
     """
-    out, parts = _with_partition(conform(df, schema))
+    out, parts = _with_partition(require(conform(df, schema), schema))
     spark = df.sparkSession
-    if _is_path(where):
-        location = where
-    else:
-        location = _table_location(spark, where) if spark.catalog.tableExists(where) else None
-    if reads_target is None:
-        reads_target = bool(location) and _reads(df, location)
-    if reads_target:
-        out = _cut_lineage(require(out, schema))
-    else:
-        _check_required(out, schema)
-    if _is_path(where):
-        out.write.mode("overwrite").partitionBy(*parts).parquet(where)
-    else:
-        out.write.mode("overwrite").partitionBy(*parts).saveAsTable(where)
-
-
-def _table_location(spark: SparkSession, name: str) -> str | None:
-    rows = (spark.sql(f"DESCRIBE TABLE EXTENDED {name}")
-            .filter(F.col("col_name") == "Location").select("data_type").collect())
-    return rows[0][0] if rows else None
+    if not _is_path(where):
+        _install(out.write.partitionBy(*parts), spark, where, f"{shared_dir(spark)}/warehouse/{where}")
+        return
+    staged = _beside(where, "new")
+    try:
+        out.write.partitionBy(*parts).parquet(staged)
+    except Exception:
+        _remove(spark, staged)
+        raise
+    _swap(spark, staged, where)
+
+
+def _table_location(spark: SparkSession, name: str) -> str:
+    return json.loads(spark.sql(f"DESCRIBE TABLE EXTENDED {_quoted(name)} AS JSON").first()[0])["location"]
+
+
+def _install(writer: DataFrameWriter, spark: SparkSession, name: str, base: str) -> None:
+    """Write a table's new version to its own folder below ``base``, then move the name to it."""
+    mark = uuid.uuid4().hex[:12]
+    base = base.rstrip("/")
+    new, old, files = f"{name}__new_{mark}", f"{name}__old_{mark}", f"{base}/{mark}"
+    try:
+        writer.option("path", files).saveAsTable(new)
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {_quoted(new)}")
+        _remove(spark, files)
+        raise
+    before = _table_location(spark, name) if spark.catalog.tableExists(name) else None
+    if before:
+        spark.sql(f"ALTER TABLE {_quoted(name)} RENAME TO {_quoted(old)}")
+    spark.sql(f"ALTER TABLE {_quoted(new)} RENAME TO {_quoted(name)}")
+    if before:
+        spark.sql(f"DROP TABLE {_quoted(old)}")
+        if _hadoop(spark, before)[1].getParent().toUri().getPath() == _hadoop(spark, base)[1].toUri().getPath():
+            _remove(spark, before)              # a version written here
 
 
 def create_as(df: DataFrame, name: str, path: str | None = None,
               bucket_by: tuple[int, list[str]] | None = None) -> DataFrame:
     """CREATE OR REPLACE TABLE name AS <df> (K4) in the session catalog.
 
-    The table's files go to ``path`` (default: under the shared folder).
+    Each version's files go to a folder of their own below ``path`` (default:
+    under the shared folder). The new version is complete before the name moves
+    to it, so a job that fails leaves the old table; ``df`` may read that table.
     ``bucket_by=(n, keys)`` stores the rows hashed into ``n`` buckets by
     ``keys`` and sorted within each bucket; tables bucketed alike then join
     on those keys with no shuffle, the layout for joins that run again and
@@ -224,14 +224,11 @@ def create_as(df: DataFrame, name: str, path: str | None = None,
     """
     spark = df.sparkSession
     path = path or f"{shared_dir(spark)}/warehouse/{name}"
-    current = _table_location(spark, name) if spark.catalog.tableExists(name) else None
-    if _reads(df, path) or (current and _reads(df, current)):
-        df = _cut_lineage(df)
-    writer = df.write.mode("overwrite").option("path", path)
+    writer = df.write
     if bucket_by:
         n, keys = bucket_by
         writer = writer.bucketBy(n, *keys).sortBy(*keys)
-    writer.saveAsTable(name)
+    _install(writer, spark, name, path)
     return spark.table(name)
 
 
@@ -243,8 +240,9 @@ def delete_where(df: DataFrame, pred: Column) -> DataFrame:
 def delete_from(spark: SparkSession, where: str, pred: Column,
                 schema: T.StructType = TRANSCRIPTS) -> DataFrame:
     """Apply K5 to a stored table (path or name); return the table as it is now."""
-    kept = delete_where(read_table(spark, where, schema), pred)
-    replace(kept.select([f.name for f in schema.fields]), where, schema, reads_target=True)
+    table = read_table(spark, where, schema)
+    if table.filter(pred).limit(1).count():             # else every file stays as it is
+        replace(delete_where(table, pred).select([f.name for f in schema.fields]), where, schema)
     return read_table(spark, where, schema)
 
 

@@ -294,6 +294,22 @@ def test_packing_round_trip(odd, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = _tokenizer("byte_bpe_50k.json")
+    slow, end = Tokenizer.from_file(path), "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"x \n {end}\n  y", "a <|endoftext| > b", f"é{end}漢 " * 200]
+    docs = spark.createDataFrame([(i, t, None, None, None, None) for i, t in enumerate(texts)], DOCS)
+    pieces = defaultdict(dict)
+    for r in packing.pack(docs, path, 64).collect():
+        pieces[r.doc_id, r.doc_tokens][r.start] = np.frombuffer(r.ids, "<u4").tolist()
+    for i, t in enumerate(texts):
+        want = [*slow.encode(t, add_special_tokens=False).ids, 0]
+        assert [x for s in sorted(pieces[i, len(want)]) for x in pieces[i, len(want)][s]] == want
+    assert packing.encoder(path)(texts[0]) == [64, 220, 50256, 275]
+
+
 def test_token_counts_match_library(odd, empty):
     import sentencepiece
     from tokenizers import Tokenizer, models

@@ -245,6 +245,20 @@ def test_near_duplicates_brute_force(spark, odd, n, percent):
         assert r.doc_id is None or r.n_shingles == len(sets[r.doc_id])
 
 
+def test_rows_of_one_group_never_meet(spark):
+    m, size = 200, 20                                           # one group of copies, a document that shares four shingles and one that shares two
+    rows = [(i, size, at, at) for i in range(m) for at in range(4)]
+    rows += [(500, size, at, at) for at in range(4)] + [(600, size, at, at) for at in range(2)]
+    shared = spark.createDataFrame(rows, "id long, size long, at int, token long")
+    groups = spark.createDataFrame([(i, 0) for i in range(m)], "id long, component long")
+    parities = shared.select("id", *[F.lit(0).cast("long").alias(b) for b in ngram_join.PARITY]).distinct()
+    got = ngram_join.group_pairs(shared, groups, parities, 85)
+    assert {(r.x, r.y) for r in got.collect()} == {(i, 500) for i in range(m)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert joins and not any(re.search(r"gx#\d+L? < gy#\d+L?", line) for line in joins)
+
+
 def test_near_duplicates_empty(empty):
     assert ngram_join.near_duplicates(empty).count() == 0
 

@@ -27,9 +27,12 @@ the one with the fewest shingles of its own (linear in the index); verified
 links give first groups. After that, only shingles found in two or more
 *groups* can still join anything: those in at most ``FREQUENT`` groups
 are the rare class and propose pairs from different groups, the others do so
-in combinations of two.
+in combinations of two. Pairs of groups are found first, from one row for each
+group, and rare shingles count only where two groups share ``RARE`` of them or
+a frequent pair; so rows of one group never meet.
 So no link between different groups is missed, and a group of near copies
-costs no more than its size.
+costs its size for each group it may link with; two groups that share that
+many shingles, yet have no link so far, cost the product of their sizes.
 
 The index holds 64-bit hashes, ids and positions; texts are never shuffled,
 only the sets of candidates are (found by a bit table of bounded size, which
@@ -288,17 +291,29 @@ def _relabel(shared: DataFrame, groups: DataFrame) -> DataFrame:
     return named.withColumn("g", F.coalesce("component", "id")).drop("component")
 
 
-def _across(index: DataFrame, key: list[str], percent: int, before: int) -> DataFrame:
-    """(x, y, left, need) of common keys from different groups.
+def _meets(index: DataFrame, key: list[str], percent: int, before: int) -> DataFrame:
+    """(key, gx, gy): pairs of groups with a common key whose rows can fit, from one row for each group."""
+    side = lambda v: {"g": f"g{v}", "s": f"s{v}", "n": f"n{v}", "m": f"m{v}"}
+    groups = index.groupBy(*key, "g").agg(F.min("size").alias("s"), F.max(F.col("size") - F.col("at")).alias("n"),
+                                          F.max(F.col("size") - F.col("later")).alias("m"))
+    a, b = (groups.withColumnsRenamed(side(v)) for v in "xy")
+    need = _needed(percent)
+    fits = (F.col("gx") < F.col("gy")) & (F.least("nx", "ny") + before >= need) & (F.least("mx", "my") + RARE >= need)
+    return a.join(b, key).where(fits).select(*key, "gx", "gy")
+
+
+def _across(index: DataFrame, meets: DataFrame, key: list[str], percent: int, before: int) -> DataFrame:
+    """(x, y, gx, gy, left, need) of common keys from the pairs of groups ``meets``; rows of one group never meet.
 
     At most ``before`` shared shingles lie before position ``at``, and ``RARE`` before ``later``.
     """
     side = lambda v: {"g": f"g{v}", "id": v, "size": f"s{v}", "at": f"p{v}", "later": f"q{v}"} | {b: f"{b}{v}" for b in PARITY}
     cols = [*key, "id", "g", "size", "at", "later", *PARITY]
     a, b = (index.select(cols).withColumnsRenamed(side(v)) for v in "xy")
-    fits = (F.col("gx") < F.col("gy")) & (_left() + before >= _needed(percent))
+    fits = _left() + before >= _needed(percent)
     fits = fits & (_left(at_a="qx", at_b="qy") + RARE >= _needed(percent)) & _alike(percent)
-    return a.join(b, key).where(fits).select("x", "y", _left().alias("left"), _needed(percent).alias("need"))
+    return (meets.join(a, [*key, "gx"]).join(b, [*key, "gy"]).where(fits)
+            .select("x", "y", "gx", "gy", _left().alias("left"), _needed(percent).alias("need")))
 
 
 def group_pairs(shared: DataFrame, groups: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
@@ -311,7 +326,6 @@ def group_pairs(shared: DataFrame, groups: DataFrame, parities: DataFrame, perce
              .withColumn("least", F.greatest("least", F.ceil(F.lit(percent) * F.col("size") / F.lit(100))))
              .where(F.col("size") - F.col("at") + RARE >= _needed(percent, "size", "least")))
     live = _stored(index.join(parities, "id"), "live")
-    rare = _across(live.where(F.col("k") <= FREQUENT).withColumn("later", F.col("at")), ["token"], percent, RARE)
     # a document's frequent shingles, at most its prefix; all combinations of two
     often = (live.where(F.col("k") > FREQUENT).groupBy("id", "g", "size", *PARITY)
              .agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("ts")))
@@ -321,7 +335,14 @@ def group_pairs(shared: DataFrame, groups: DataFrame, parities: DataFrame, perce
                      F.col("a.at").alias("at"), F.col("b.at").alias("later")))
     common = (pairs.groupBy("t1", "t2").agg(F.min("g").alias("g0"), F.max("g").alias("g1"))
               .where("g0 < g1").select("t1", "t2"))
-    often = _across(pairs.join(common, ["t1", "t2"]), ["t1", "t2"], percent, RARE - 1)
+    pairs, two = pairs.join(common, ["t1", "t2"]), ["t1", "t2"]
+    often = _stored(_across(pairs, _meets(pairs, two, percent, RARE - 1), two, percent, RARE - 1), "often")
+    # rare shingles count where two groups share enough of them, or beside a frequent pair
+    single = live.where(F.col("k") <= FREQUENT).withColumn("later", F.col("at"))
+    meets = _stored(_meets(single, ["token"], percent, RARE), "meets")
+    enough = (meets.groupBy("gx", "gy").agg(F.count("*").alias("n")).where(F.col("n") >= RARE).select("gx", "gy")
+              .union(often.select("gx", "gy")).distinct())
+    rare = _across(single, meets.join(enough, ["gx", "gy"]), ["token"], percent, RARE)
     none = F.lit(None).cast("long")
     both = (rare.select("x", "y", F.lit(1).alias("r"), F.col("left").alias("lr"), none.alias("lf"), "need")
             .union(often.select("x", "y", F.lit(0), none, "left", "need")))

@@ -259,6 +259,52 @@ def test_rows_of_one_group_never_meet(spark):
     assert joins and not any(re.search(r"gx#\d+L? < gy#\d+L?", line) for line in joins)
 
 
+@pytest.mark.parametrize("frequent", [0, 1, 2, ngram_join.FREQUENT])
+def test_near_duplicates_frequent_shingles(spark, monkeypatch, frequent):
+    rng = random.Random(10)
+    passage, texts = [f"p{i}" for i in range(30)], []
+    for g in range(60):                                         # short documents of many groups share a passage
+        own = [f"g{g}x{i}" for i in range(rng.choice([2, 3, 4, 5, 6]))]
+        for _ in range(3):
+            w = passage + own
+            for _ in range(rng.choice([0, 0, 1])):
+                w[rng.randrange(4)] = f"e{rng.randint(0, 5)}"
+            texts.append(w)
+    for _ in range(8):
+        base = [f"w{rng.randint(0, 300)}" for _ in range(rng.choice([20, 60]))]
+        for _ in range(15):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3])):
+                w[rng.randrange(len(w))] = f"e{rng.randint(0, 999)}"
+            texts.append(w)
+    rng.shuffle(texts)
+    sets = [{tuple(w[k:k + 4]) for k in range(len(w) - 3)} for w in texts]
+    top = list(range(len(texts)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                top[max(x, y)] = min(x, y)
+    paired, across = [], ngram_join._across
+
+    def seen(index, meets, key, *rest):
+        if len(key) == 2:
+            paired.append(index.count())
+        return across(index, meets, key, *rest)
+
+    monkeypatch.setattr(ngram_join, "_across", seen)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = ngram_join.near_duplicates(docs, 4, 85, frequent=frequent).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(len(texts))}
+    assert paired[0] > 0                                        # the index of pairs was reached
+
+
 def test_near_duplicates_empty(empty):
     assert ngram_join.near_duplicates(empty).count() == 0
 

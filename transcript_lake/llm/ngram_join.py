@@ -316,7 +316,8 @@ def _across(index: DataFrame, meets: DataFrame, key: list[str], percent: int, be
             .select("x", "y", "gx", "gy", _left().alias("left"), _needed(percent).alias("need")))
 
 
-def group_pairs(shared: DataFrame, groups: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
+def group_pairs(shared: DataFrame, groups: DataFrame, parities: DataFrame, percent: int,
+                frequent: int = FREQUENT) -> DataFrame:
     """Candidate pairs between different groups, by single rare and paired frequent shingles."""
     index = _relabel(shared, groups)
     spread = (index.groupBy("token", "g").agg(F.min("size").alias("s")).groupBy("token")
@@ -327,7 +328,7 @@ def group_pairs(shared: DataFrame, groups: DataFrame, parities: DataFrame, perce
              .where(F.col("size") - F.col("at") + RARE >= _needed(percent, "size", "least")))
     live = _stored(index.join(parities, "id"), "live")
     # a document's frequent shingles, at most its prefix; all combinations of two
-    often = (live.where(F.col("k") > FREQUENT).groupBy("id", "g", "size", *PARITY)
+    often = (live.where(F.col("k") > frequent).groupBy("id", "g", "size", *PARITY)
              .agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("ts")))
     pairs = (often.select("id", "g", "size", *PARITY, "ts", F.posexplode("ts").alias("i", "a"))
              .select("id", "g", "size", *PARITY, "a", F.explode(F.slice("ts", F.col("i") + 2, F.size("ts"))).alias("b"))
@@ -338,7 +339,7 @@ def group_pairs(shared: DataFrame, groups: DataFrame, parities: DataFrame, perce
     pairs, two = pairs.join(common, ["t1", "t2"]), ["t1", "t2"]
     often = _stored(_across(pairs, _meets(pairs, two, percent, RARE - 1), two, percent, RARE - 1), "often")
     # rare shingles count where two groups share enough of them, or beside a frequent pair
-    single = live.where(F.col("k") <= FREQUENT).withColumn("later", F.col("at"))
+    single = live.where(F.col("k") <= frequent).withColumn("later", F.col("at"))
     meets = _stored(_meets(single, ["token"], percent, RARE), "meets")
     enough = (meets.groupBy("gx", "gy").agg(F.count("*").alias("n")).where(F.col("n") >= RARE).select("gx", "gy")
               .union(often.select("gx", "gy")).distinct())
@@ -354,8 +355,8 @@ def group_pairs(shared: DataFrame, groups: DataFrame, parities: DataFrame, perce
 
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT,
-                    id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for every row of ``docs``."""
+                    id_col: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """(id, n_shingles, component_id) for every row of ``docs``, whatever ``frequent`` is."""
     if percent < 80:
         raise ValueError("prefixes with three rare shingles need a similarity of 0.8 or more")
     shared_dir(docs.sparkSession)               # checkpoints need their folder
@@ -372,7 +373,7 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT,
     first = _stored(verified(stars, rows, n, percent), "links")
     groups = components(first)
     others = _stored(group_pairs(shared.select("id", "size", "at", "token"), groups,
-                                 whole.drop("size"), percent), "pairs")
+                                 whole.drop("size"), percent, frequent), "pairs")
     second = verified(others, rows, n, percent)
     # now whole groups are vertices
     joins = (second.join(groups.select(F.col("id").alias("x"), F.col("component").alias("gx")), "x", "left")

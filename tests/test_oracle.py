@@ -2,11 +2,16 @@
 
 import datetime as dt
 import math
+import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+import __spark_entry__
+from transcript_lake.plans.oracle import oracle_sql
+from transcript_lake.plans.queries import QUERIES
 from conftest import SMALL
 
 TABLES = ["customer", "supplier", "nation", "events", "documents"]
@@ -36,12 +41,27 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(oracle_sql())
 
 
-@pytest.mark.parametrize("key", sorted(queries()))
+def test_entry_registers_the_core_queries():
+    assert set(QUERIES) <= set(__spark_entry__.queries())
+    assert set(oracle_sql()) <= set(__spark_entry__.oracle_sql())
+
+
+def test_entry_without_optional_packages():
+    """A package that only the training-data operators need may be absent."""
+    code = ("import sys, warnings; sys.modules['ahocorasick'] = None; sys.modules['public_tokenizers'] = None\n"
+            "sys.path.insert(0, '.'); warnings.simplefilter('ignore')\n"
+            "import __spark_entry__ as e; from transcript_lake.plans.queries import QUERIES\n"
+            "assert set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, key):
-    df = queries()[key](spark, SMALL)
+    df = QUERIES[key](spark, SMALL)
     s_rows = [tuple(r) for r in df.collect()]
     res = duck.execute(oracle_sql()[key])
     d_cols = [c[0] for c in res.description]
@@ -52,7 +72,7 @@ def test_query_matches_oracle(spark, duck, key):
 
 
 def test_entry_smoke(spark):
-    df = entry(spark)
+    df = __spark_entry__.entry(spark)
     rows = df.collect()
     assert df.columns == ["date", "transcript_count", "avg_content_length",
                           "earliest_transcript", "latest_transcript"]
@@ -74,7 +94,7 @@ def test_join_queries_without_broadcast(spark, duck, key):
     try:
         for c in confs:
             spark.conf.set(c, "-1")
-        df = queries()[key](spark, SMALL)
+        df = QUERIES[key](spark, SMALL)
         buf = io.StringIO()
         with contextlib.redirect_stdout(buf):
             df.explain()

@@ -8,9 +8,9 @@ import re
 
 import pytest
 
-from __spark_entry__ import queries
 from transcript_lake.operators import read as RD
 from transcript_lake.operators.features import features
+from transcript_lake.plans.queries import QUERIES
 from transcript_lake.sources import fixtures as FX
 from transcript_lake.sources import sinks as SK
 from transcript_lake.sources.tables import read_table
@@ -66,13 +66,13 @@ def test_preview_is_top_k(spark, stored):
     assert "TakeOrderedAndProject" in p
 
 
-@pytest.mark.parametrize("key", sorted(queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_no_pairwise_joins(spark, key):
     if key in {"append_rows", "replace_processed", "create_as_select", "delete_where",
                "table_profile", "pipeline_summary", "suspicious_stream",
                "ingest_stream"}:
         pytest.skip("writes; its read-back plan is a scan")
-    p = plan(queries()[key](spark, SMALL))
+    p = plan(QUERIES[key](spark, SMALL))
     assert "CartesianProduct" not in p
     assert "BroadcastNestedLoopJoin" not in p
     assert "BatchEvalPython" not in p

@@ -46,7 +46,7 @@ def empty(spark):
 @pytest.mark.parametrize("key", sorted(ORACLE))
 def test_sql(spark, key):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     cols = sorted(QUERIES[key](spark, SF).columns)
     got = sorted(map(repr, map(tuple, QUERIES[key](spark, SF).select(cols).collect())))

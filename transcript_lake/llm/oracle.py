@@ -5,6 +5,8 @@ from __future__ import annotations
 from .quality_rules import RULES, STOP_WORDS
 from .url_filters import DAMPING, ROUNDS, THRESHOLD
 from .url_filters import RULES as URL_RULES
+from .vector_codes import ENTRIES, PARTS
+from .vector_codes import ROUNDS as CODE_ROUNDS
 
 _WHITE = r"[\x20\x09-\x0D]"
 _SPACES = r"chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
@@ -105,7 +107,62 @@ SELECT page_id, v.host, path, rule, coalesce(says, CASE WHEN coalesce(g.s, 0) -
 FROM v LEFT JOIN good{ROUNDS} g ON v.host = g.host LEFT JOIN bad{ROUNDS} b ON v.host = b.host"""
 
 
+def filter_audit() -> str:
+    bit = "(1 << (ascii(substr(filter_order, step, 1)) - 65))"
+    return f"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic FROM labels GROUP BY ALL),
+m AS (SELECT w.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+        + 4 * (100 * (length(t) - length(translate(t, '{_UP}', ''))) > 2 * length(t))::INT
+        + 8 * regexp_matches(t, '[#$%&*|]')::INT
+        + 16 * coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false)::INT AS mask
+      FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, {bit} AS bit,
+             coalesce(list_sum([1 << (ascii(substr(filter_order, j, 1)) - 65) for j in range(1, step)]), 0)::INT AS state
+      FROM o, unnest(range(1, 6)) AS r(step)),
+r AS (SELECT part, filter_order, step, bit, sum(n) FILTER (mask & (state | bit) = 0) AS kept,
+             sum(n) FILTER (mask & state = 0 AND mask & bit > 0) AS removed,
+             sum(n) FILTER (mask & state > 0 AND mask & bit > 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+             sum(good) FILTER (mask & state = 0 AND mask & bit > 0) AS good_lost,
+             sum(toxic) FILTER (mask & state = 0 AND mask & bit > 0) AS toxic_lost
+      FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, {", ".join(f"coalesce({x}, 0)::BIGINT AS {x}" for x in
+       ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+       coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley FROM r"""
+
+
+def vector_codes() -> str:
+    parts = [f"""v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, v[part * (len(v) // {PARTS}) + 1:(part + 1) * (len(v) // {PARTS})] AS x
+  FROM v, unnest(range({PARTS})) AS r(part)),
+b0 AS MATERIALIZED (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry
+  FROM p JOIN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {ENTRIES}) USING (vec_id))"""]
+    for k in range(CODE_ROUNDS + 1):
+        parts.append(f"""a{k} AS MATERIALIZED (SELECT vec_id, part, x, e[2] AS entry, e[1] AS d FROM (
+  SELECT vec_id, p.part, any_value(p.x) AS x, min([list_sum([(q[1] - q[2]) ** 2 for q in list_zip(p.x, b.x)])::BIGINT, entry]) AS e
+  FROM p JOIN b{k} b USING (part) GROUP BY ALL))""")
+        if k < CODE_ROUNDS:
+            parts.append(f"""m{k} AS (SELECT part, entry, list(y ORDER BY j) AS x FROM (
+  SELECT part, entry, j, floor(sum(x[j])::DOUBLE / count(*))::BIGINT AS y FROM a{k}, unnest(range(1, len(x) + 1)) AS r(j) GROUP BY ALL) GROUP BY ALL),
+b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{k}.x, b{k}.x) AS x FROM b{k} LEFT JOIN m{k} USING (part, entry))""")
+    return f"""
+WITH {", ".join(parts)},
+c AS (SELECT vec_id, string_agg(lpad(lower(hex(entry)), 2, '0'), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{CODE_ROUNDS} GROUP BY ALL),
+s AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{CODE_ROUNDS})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM c JOIN v USING (vec_id), s"""
+
+
 ORACLE: dict[str, str] = {
+    "op12_vector_codes": vector_codes(),
+    "op11_filter_audit": filter_audit(),
     "op2_quality_rules": quality_rules(),
     "op5_url_filters": url_filters(),
     "op6_ngram_join": ngram_join(),

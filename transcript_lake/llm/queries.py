@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from . import (
     decontaminate,
+    filter_audit,
     line_dedup,
     ngram_join,
     packing,
     quality_pu,
     quality_rules,
     sharding,
+    simhash,
     token_count,
     toxicity,
     url_filters,
+    vector_codes,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +99,19 @@ def op10_sharding(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash(spark, sf_dir):
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_toxicity, op2_quality_rules, op3_decontamination, op4_quality, op5_url_filters,
-    op6_ngram_join, op7_packing, op8_line_dedup, op9_token_count, op10_sharding)}
+    op6_ngram_join, op7_packing, op8_line_dedup, op9_token_count, op10_sharding, op11_filter_audit,
+    op12_vector_codes, op13_simhash)}

@@ -21,8 +21,8 @@ fingerprints can emit, so every group that reaches a task is bounded without
 leaving anything out.
 
 All holders of a variant are within the radius of each other. Each is linked to the smallest of
-them only (links linear in the variants), the links of a part are deduplicated and their
-distance is verified. Groups are the connected components of the links.
+them only (links linear in the variants); of a part's links, deduplicated, only those of a spanning
+forest leave the task (fewer than its fingerprints), and their distance is verified. Groups are the connected components of the links.
 Equal fingerprints are one vertex, so any number of copies costs one.
 
 Words are runs of characters other than white space, A-Z lower-cased, repeats
@@ -187,8 +187,23 @@ def meetings(lead: int, fp: np.ndarray, tail: int, half: int) -> tuple[np.ndarra
     order = np.lexsort((holders, of))
     of, holders = of[order], holders[order]
     first = holders[np.searchsorted(of, of)]            # the smallest holder of each variant
-    pairs = np.unique(np.stack([holders, first], 1)[holders != first], axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    pairs = np.unique(np.stack([first, holders], 1)[holders != first], axis=0)
+    return forest(pairs)
+
+
+def forest(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (y, x), taken in order, that join two trees so far, as (x, y): one less than there are vertices at most."""
+    names, at = np.unique(pairs, return_inverse=True)
+    top, keep = list(range(len(names))), []
+    for i, (a, b) in enumerate(at.reshape(-1, 2).tolist()):
+        while top[a] != a:
+            top[a] = a = top[top[a]]
+        while top[b] != b:
+            top[b] = b = top[top[b]]
+        if a != b:
+            top[max(a, b)] = min(a, b)
+            keep.append(i)
+    return pairs[keep, 1], pairs[keep, 0]
 
 
 def _meet(tail: int, half: int) -> Callable[[tuple[pa.Scalar, ...], pa.Table], pa.Table]:

@@ -259,6 +259,23 @@ def test_rows_of_one_group_never_meet(spark):
     assert joins and not any(re.search(r"gx#\d+L? < gy#\d+L?", line) for line in joins)
 
 
+def test_a_large_group_is_not_repeated_for_its_partners(spark):
+    m, partners, size = 300, 120, 20
+    rows = [(1, 2, i, 0, size, 0, 1, *[0] * 4) for i in range(m)]
+    rows += [(1, 2, 1000 + i, 1000 + i, size, 0, 1, *[-1] * 4) for i in range(partners)]   # parities rule them out
+    rows += [(1, 2, 5000, 5000, size, 0, 1, *[0] * 4)]
+    index = spark.createDataFrame(rows, "t1 long, t2 long, id long, g long, size long, at long, later long, "
+                                  + ", ".join(f"{b} long" for b in ngram_join.PARITY))
+    key = ["t1", "t2"]
+    meets = ngram_join._meets(index, key, 85, 2)
+    assert {r.gx for r in meets.where("gy >= 1000 and gx < 1000").collect()} == {0}     # the larger group is gx
+    few = meets.join(index.withColumnRenamed("g", "gy"), [*key, "gy"])
+    assert few.count() == meets.count() == (partners + 1) * (partners + 2) // 2         # no factor m
+    got = ngram_join._across(index, meets, key, 85, 2).collect()
+    among = partners * (partners - 1) // 2                                              # alike among themselves
+    assert len(got) == m + among and {(r.x, r.y) for r in got if r.x < m} == {(i, 5000) for i in range(m)}
+
+
 @pytest.mark.parametrize("frequent", [0, 1, 2, ngram_join.FREQUENT])
 def test_near_duplicates_frequent_shingles(spark, monkeypatch, frequent):
     rng = random.Random(10)

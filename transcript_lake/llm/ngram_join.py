@@ -30,9 +30,11 @@ are the rare class and propose pairs from different groups, the others do so
 in combinations of two. Pairs of groups are found first, from one row for each
 group, and rare shingles count only where two groups share ``RARE`` of them or
 a frequent pair; so rows of one group never meet.
-So no link between different groups is missed, and a group of near copies
-costs its size for each group it may link with; two groups that share that
-many shingles, yet have no link so far, cost the product of their sizes.
+The smaller group's rows are taken to the larger one's, where positions and
+parities are compared within the join. So no link between different groups is
+missed, a large group is not repeated for every group it meets, and rows come
+out only of pairs that those filters let through. Comparisons (not rows) of two
+groups that share that many shingles, yet have no link so far, are the product of their sizes.
 
 The index holds 64-bit hashes, ids and positions; texts are never shuffled,
 only the sets of candidates are (found by a bit table of bounded size, which
@@ -50,7 +52,9 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from math import log2
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -292,19 +296,29 @@ def _relabel(shared: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _meets(index: DataFrame, key: list[str], percent: int, before: int) -> DataFrame:
-    """(key, gx, gy): pairs of groups with a common key whose rows can fit, from one row for each group."""
-    side = lambda v: {"g": f"g{v}", "s": f"s{v}", "n": f"n{v}", "m": f"m{v}"}
+    """(key, gx, gy): pairs of groups with a common key whose rows can fit, from one row for each group.
+
+    ``gy`` is the one with fewer rows of that key.
+    """
+    side = lambda v: {"g": f"g{v}", "s": f"s{v}", "n": f"n{v}", "m": f"m{v}", "c": f"c{v}"}
     groups = index.groupBy(*key, "g").agg(F.min("size").alias("s"), F.max(F.col("size") - F.col("at")).alias("n"),
-                                          F.max(F.col("size") - F.col("later")).alias("m"))
+                                          F.max(F.col("size") - F.col("later")).alias("m"), F.count("*").alias("c"))
     a, b = (groups.withColumnsRenamed(side(v)) for v in "xy")
     need = _needed(percent)
-    fits = (F.col("gx") < F.col("gy")) & (F.least("nx", "ny") + before >= need) & (F.least("mx", "my") + RARE >= need)
-    return a.join(b, key).where(fits).select(*key, "gx", "gy")
+    fits = (F.struct("cx", "gx") > F.struct("cy", "gy")) & (F.least("nx", "ny") + before >= need)
+    return a.join(b, key).where(fits & (F.least("mx", "my") + RARE >= need)).select(*key, "gx", "gy")
+
+
+def _both_ways(df: DataFrame) -> DataFrame:
+    """With (ga, gb), the pair of groups whichever has more rows."""
+    return df.withColumn("ga", F.least("gx", "gy")).withColumn("gb", F.greatest("gx", "gy"))
 
 
 def _across(index: DataFrame, meets: DataFrame, key: list[str], percent: int, before: int) -> DataFrame:
-    """(x, y, gx, gy, left, need) of common keys from the pairs of groups ``meets``; rows of one group never meet.
+    """(x, y, ga, gb, left, need) of common keys from the pairs of groups ``meets``; rows of one group never meet.
 
+    A pair of groups takes the smaller one's rows to the larger one's, and positions and
+    parities are compared there, so a large group is not repeated for every group it meets.
     At most ``before`` shared shingles lie before position ``at``, and ``RARE`` before ``later``.
     """
     side = lambda v: {"g": f"g{v}", "id": v, "size": f"s{v}", "at": f"p{v}", "later": f"q{v}"} | {b: f"{b}{v}" for b in PARITY}
@@ -312,8 +326,13 @@ def _across(index: DataFrame, meets: DataFrame, key: list[str], percent: int, be
     a, b = (index.select(cols).withColumnsRenamed(side(v)) for v in "xy")
     fits = _left() + before >= _needed(percent)
     fits = fits & (_left(at_a="qx", at_b="qy") + RARE >= _needed(percent)) & _alike(percent)
-    return (meets.join(a, [*key, "gx"]).join(b, [*key, "gy"]).where(fits)
-            .select("x", "y", "gx", "gy", _left().alias("left"), _needed(percent).alias("need")))
+    same = [F.col(f"b.{c}") == F.col(f"a.{c}") for c in [*key, "gx"]]
+    few = meets.join(b, [*key, "gy"]).alias("b")
+    rows = few.join(a.alias("a"), reduce(and_, same) & fits).select("x", "y", "a.gx", "gy", "px", "py", "sx", "sy")
+    turn = F.col("gx") > F.col("gy")
+    return _both_ways(rows).select(F.when(turn, F.col("y")).otherwise(F.col("x")).alias("x"),
+                                   F.when(turn, F.col("x")).otherwise(F.col("y")).alias("y"),
+                                   "ga", "gb", _left().alias("left"), _needed(percent).alias("need"))
 
 
 def group_pairs(shared: DataFrame, groups: DataFrame, parities: DataFrame, percent: int,
@@ -340,10 +359,10 @@ def group_pairs(shared: DataFrame, groups: DataFrame, parities: DataFrame, perce
     often = _stored(_across(pairs, _meets(pairs, two, percent, RARE - 1), two, percent, RARE - 1), "often")
     # rare shingles count where two groups share enough of them, or beside a frequent pair
     single = live.where(F.col("k") <= frequent).withColumn("later", F.col("at"))
-    meets = _stored(_meets(single, ["token"], percent, RARE), "meets")
-    enough = (meets.groupBy("gx", "gy").agg(F.count("*").alias("n")).where(F.col("n") >= RARE).select("gx", "gy")
-              .union(often.select("gx", "gy")).distinct())
-    rare = _across(single, meets.join(enough, ["gx", "gy"]), ["token"], percent, RARE)
+    meets = _stored(_both_ways(_meets(single, ["token"], percent, RARE)), "meets")
+    enough = (meets.groupBy("ga", "gb").agg(F.count("*").alias("n")).where(F.col("n") >= RARE).select("ga", "gb")
+              .union(often.select("ga", "gb")).distinct())
+    rare = _across(single, meets.join(enough, ["ga", "gb"]).drop("ga", "gb"), ["token"], percent, RARE)
     none = F.lit(None).cast("long")
     both = (rare.select("x", "y", F.lit(1).alias("r"), F.col("left").alias("lr"), none.alias("lf"), "need")
             .union(often.select("x", "y", F.lit(0), none, "left", "need")))

@@ -38,3 +38,19 @@ def millis(n: int) -> Column:
 
 def ts_text(c: Column) -> Column:
     return F.date_format(c, TS_TEXT_FORMAT)
+
+
+#: Fixed value: the form of a log time, RFC 3339 with the zone optional (none: UTC).
+LOG_TIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})?$"
+
+
+def utc_time(text: Column) -> Column:
+    """Log time text as a zone-less UTC DATETIME, whatever the session zone; NULL if it is not one.
+
+    ``Z`` and offsets are converted, digits beyond microseconds are cut.
+    """
+    known = F.when(text.rlike(LOG_TIME), text)
+    zoned = known.rlike("(Z|[+-][0-9]{2}:[0-9]{2})$")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    instant = epoch + F.lit(dt.timedelta(microseconds=1)) * F.unix_micros(F.when(zoned, known).try_cast("timestamp"))
+    return F.when(zoned, instant).otherwise(known.try_cast("timestamp_ntz"))

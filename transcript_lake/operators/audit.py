@@ -6,26 +6,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.principals import permission_label, quote_regex
-from ..sources.schemas import AUDIT_ENTRY, PROBE_COLUMNS
+from ..functions.time import utc_time
+from ..sources.schemas import AUDIT_ENTRY, CORRUPT, PROBE_COLUMNS, with_corrupt
 
 ACCESS_TOKEN = "GenerateAccessToken"
 ID_TOKEN = "GenerateIdToken"
 
 
-def parse_audit(entries: DataFrame, col: str = "entry") -> DataFrame:
-    """JSON log entries -> (insert_id, ts, method, target, caller).
+AUDIT_COLUMNS = ["insert_id", "ts", "method", "target", "caller"]
+
+
+def split_audit(entries: DataFrame, col: str = "entry") -> tuple[DataFrame, DataFrame]:
+    """JSON log entries -> (good, errors), each entry in exactly one of them.
 
-    A missing path gives NULL (``authenticationInfo`` is absent on some
-    entries). The timestamp travels as text and is cast back exactly.
+    ``good`` is (insert_id, ts, method, target, caller); ``ts`` is zone-less UTC,
+    offsets converted. A missing path gives NULL (``authenticationInfo`` is
+    absent on some entries). ``errors`` is (entry, errors): entries that are null, are
+    not JSON of the declared shape, or whose time is missing or no RFC 3339 time.
+    Both are one projection over the entries, so they add no shuffle.
     """
-    e = F.from_json(F.col(col), AUDIT_ENTRY)
-    return entries.select(e.alias("e")).select(
-        F.col("e.insertId").alias("insert_id"),
-        F.col("e.timestamp").cast("timestamp_ntz").alias("ts"),
+    raw = F.col(col)
+    e = F.from_json(raw, with_corrupt(AUDIT_ENTRY), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    rows = entries.select(raw.alias("entry"), e.alias("e")).withColumn("ts", utc_time(F.col("e.timestamp")))
+    broken = F.col("e").isNull() | F.col(f"e.{CORRUPT}").isNotNull()
+    why = (F.when(F.col("entry").isNull(), "entry: missing")
+           .when(broken, "entry: malformed")
+           .when(F.col("e.timestamp").isNull(), "timestamp: missing")
+           .when(F.col("ts").isNull(), "timestamp: invalid"))
+    rows = rows.withColumn("errors", why)
+    good = rows.where("errors is null").select(
+        F.col("e.insertId").alias("insert_id"), "ts",
         F.col("e.protoPayload.methodName").alias("method"),
         F.col("e.protoPayload.request.name").alias("target"),
         F.col("e.protoPayload.authenticationInfo.principalEmail").alias("caller"),
     )
+    return good, rows.where("errors is not null").select("entry", "errors")
+
+
+def parse_audit(entries: DataFrame, col: str = "entry") -> DataFrame:
+    """The good entries of ``split_audit``; ``audit_errors`` has the others."""
+    return split_audit(entries, col)[0]
+
+
+def audit_errors(entries: DataFrame, col: str = "entry") -> DataFrame:
+    """(entry, errors) of the entries that no filter or counter sees."""
+    return split_audit(entries, col)[1]
+
+
+def error_counts(errors: DataFrame) -> DataFrame:
+    """How many error rows there are of each kind (a few rows, pre-aggregated in every task)."""
+    return errors.groupBy("errors").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def audit_methods(audit: DataFrame, methods=(ACCESS_TOKEN, ID_TOKEN)) -> DataFrame:

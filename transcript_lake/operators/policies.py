@@ -12,14 +12,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.principals import repo_from_condition, repo_from_member
-from ..sources.schemas import POLICY
+from ..sources.schemas import CORRUPT, POLICY, with_corrupt
 
 WORKLOAD_IDENTITY_ROLE = "roles/iam.workloadIdentityUser"
 KEYS = ["resource", "role", "member"]
 
 
+def _parsed(policies: DataFrame) -> DataFrame:
+    p = F.from_json("policy", with_corrupt(POLICY), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    broken = F.col("p").isNull() | F.col(f"p.{CORRUPT}").isNotNull()
+    why = F.when(F.col("policy").isNull(), "policy: missing").when(broken, "policy: malformed")
+    return policies.select("resource", "policy", p.alias("p")).withColumn("errors", why)
+
+
 def parse_policy(policies: DataFrame) -> DataFrame:
-    return policies.select("resource", F.from_json("policy", POLICY).alias("p"))
+    """(resource, p) of the well-formed documents; ``policy_errors`` has the others."""
+    return _parsed(policies).where("errors is null").select("resource", "p")
+
+
+def policy_errors(policies: DataFrame) -> DataFrame:
+    """(resource, policy, errors) of the documents that are null or not JSON of the declared shape."""
+    return _parsed(policies).where("errors is not null").select("resource", "policy", "errors")
 
 
 def flatten_policy(policies: DataFrame) -> DataFrame:
@@ -70,9 +83,16 @@ def ensure_bindings(flat: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def missing_role(policies: DataFrame, flat: DataFrame,
                  role: str = WORKLOAD_IDENTITY_ROLE) -> DataFrame:
-    """Resources that have a policy but no binding of ``role``."""
+    """Resources that have a policy but no binding of ``role``.
+
+    A resource with a document that cannot be read is not reported: what it
+    binds is unknown (``policy_errors`` reports it). Readability is folded into
+    the same aggregation that makes the resources distinct.
+    """
     have = flat.filter(F.col("role") == role).select("resource").distinct()
-    return policies.select("resource").distinct().join(have, "resource", "left_anti")
+    known = (_parsed(policies).groupBy("resource").agg(F.count("errors").alias("unread"))
+             .where("unread = 0").select("resource"))
+    return known.join(have, "resource", "left_anti")
 
 
 def repo_mismatch(flat: DataFrame, providers: DataFrame) -> DataFrame:

@@ -113,6 +113,12 @@ CTES: dict[str, tuple[list[str], str]] = {
                'projects/-/serviceAccounts/sa' || (event_id % 5) AS target,
                CASE WHEN event_id % 17 = 0 THEN NULL ELSE 'u' || user_id || '@x.com' END AS caller
         FROM events"""),
+    "raw": (["au"], """
+        SELECT insert_id, CAST(insert_id AS BIGINT) AS k, ts, method, target, caller,
+               CASE WHEN CAST(insert_id AS BIGINT) % 19 = 0 THEN 'entry: malformed'
+                    WHEN CAST(insert_id AS BIGINT) % 23 = 0 THEN 'timestamp: missing'
+                    WHEN CAST(insert_id AS BIGINT) % 29 = 0 THEN 'timestamp: invalid' END AS errors
+        FROM au"""),
     "unexp": (["au"], f"""
         SELECT * FROM au
         WHERE method = {_s(ACCESS_TOKEN)}
@@ -289,6 +295,26 @@ def oracle_sql() -> dict[str, str]:
                   FROM prov) c ON b.resource = c.resource
             WHERE b.bound_repo <> '' AND c.configured_repo <> ''
               AND b.bound_repo <> c.configured_repo""", "pf", "prov"),
+        "members_like": _with(f"""
+            SELECT {keys} FROM pf WHERE starts_with(member, {_s(Q.MEMBER_PREFIX)})""", "pf"),
+        "policy_errors": """
+            SELECT 'p' || c_nationkey AS resource, '{"bindings":[{"role":' AS policy, 'policy: malformed' AS errors
+            FROM customer WHERE NOT (c_custkey % 4 = 3 AND c_nationkey % 5 = 0) AND c_nationkey % 4 = 1
+            GROUP BY c_nationkey, CASE WHEN c_custkey % 4 = 3 THEN -1 ELSE c_custkey // 1000 END""",
+        "missing_role_known": _with(f"""
+            SELECT DISTINCT resource FROM pf
+            WHERE CAST(substr(resource, 2) AS INTEGER) % 4 <> 1
+              AND resource NOT IN (SELECT resource FROM pf WHERE role = {wiu})""", "pf"),
+        "audit_errors": _with("""
+            SELECT CASE WHEN k % 19 = 0 THEN '{"insertId":"' || insert_id || '","timestamp":'
+                   ELSE '{"insertId":"' || insert_id || CASE WHEN k % 23 = 0 THEN '"' ELSE '","timestamp":"yesterday"' END
+                     || ',"protoPayload":{"methodName":"' || method || '","request":{"name":"' || target || '"}'
+                     || coalesce(',"authenticationInfo":{"principalEmail":"' || caller || '"}', '') || '}}' END AS entry, errors
+            FROM raw WHERE errors IS NOT NULL""", "raw"),
+        "audit_error_counts": _with("""
+            SELECT errors, count(*) AS rows FROM raw WHERE errors IS NOT NULL GROUP BY errors""", "raw"),
+        "audit_clean": _with("""
+            SELECT insert_id, ts, method, target, caller FROM raw WHERE errors IS NULL""", "raw"),
         "audit_methods": _with(f"""
             SELECT insert_id, ts, method, target, caller FROM au
             WHERE method IN ({_s(ACCESS_TOKEN)}, {_s(ID_TOKEN)})""", "au"),

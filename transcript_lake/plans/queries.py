@@ -219,6 +219,20 @@ def missing_role(spark, sf):
     return PO.missing_role(FX.policies(spark, sf), _flat(spark, sf))
 
 
+def members_like(spark, sf):
+    return PO.members_like(_flat(spark, sf), MEMBER_PREFIX)
+
+
+def policy_errors(spark, sf):
+    return PO.policy_errors(FX.policies_dirty(spark, sf))
+
+
+def missing_role_known(spark, sf):
+    """J2 where some documents cannot be read."""
+    docs = FX.policies_dirty(spark, sf)
+    return PO.missing_role(docs, PO.flatten_policy(docs))
+
+
 def repo_mismatch(spark, sf):
     return PO.repo_mismatch(_flat(spark, sf), FX.providers(spark, sf))
 
@@ -245,6 +259,18 @@ def audit_by_caller(spark, sf):
     return AU.audit_by_caller(_audit(spark, sf), CALLER, CALLER_ROWS)
 
 
+def audit_errors(spark, sf):
+    return AU.audit_errors(FX.audit_dirty(spark, sf))
+
+
+def audit_error_counts(spark, sf):
+    return AU.error_counts(AU.audit_errors(FX.audit_dirty(spark, sf)))
+
+
+def audit_clean(spark, sf):
+    return AU.parse_audit(FX.audit_dirty(spark, sf))
+
+
 def suspicious_counts(spark, sf):
     return AU.suspicious_counts(_audit(spark, sf), EXPECTED_CALLER, SUSPICIOUS_WINDOW)
 
@@ -280,7 +306,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in [
     table_profile,
     all_users, normalize_principals, expand_grants, log_viewers, grant_summary, invalid_members,
     flatten_policy, members_with_role, policy_has_member, stale_bindings, remove_bindings,
-    ensure_bindings, missing_role, repo_mismatch,
-    audit_methods, audit_for_target, audit_unexpected, audit_by_caller, suspicious_counts,
+    ensure_bindings, missing_role, repo_mismatch, members_like, policy_errors, missing_role_known,
+    audit_errors, audit_error_counts, audit_clean, audit_methods, audit_for_target, audit_unexpected, audit_by_caller, suspicious_counts,
     suspicious_stream, probe_report, access_level,
 ]}

@@ -179,6 +179,29 @@ def audit_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select(F.to_json(doc).alias("entry"))
 
 
+def audit_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit entries as a log delivers them: every 19th is cut off, every 23rd has no time,
+    every 29th no valid one; the rest have the zone ``Z`` or, every third, ``+05:00``."""
+    a, k = audit_flat(spark, sf_dir), F.col("event_id")
+    text = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    time = (F.when(k % 23 == 0, F.lit(None)).when(k % 29 == 0, F.lit("yesterday"))
+            .when(k % 3 == 0, F.concat(text(F.col("ts") + F.expr("INTERVAL 5 HOURS")), F.lit("+05:00")))
+            .otherwise(F.concat(text(F.col("ts")), F.lit("Z"))))
+    auth = F.when(k % 17 != 0, F.struct(F.col("caller").alias("principalEmail")))
+    payload = F.struct(F.col("method").alias("methodName"), F.struct(F.col("target").alias("name")).alias("request"),
+                       auth.alias("authenticationInfo"))
+    doc = F.to_json(F.struct(F.col("insert_id").alias("insertId"), time.alias("timestamp"), payload.alias("protoPayload")))
+    cut = F.concat(F.lit('{"insertId":"'), "insert_id", F.lit('","timestamp":'))
+    return a.select(F.when(k % 19 == 0, cut).otherwise(doc).alias("entry"))
+
+
+def policies_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The policies, those of every fourth nation cut off in the middle."""
+    n = F.regexp_extract("resource", "[0-9]+", 0).cast("int")
+    return policies(spark, sf_dir).withColumn(
+        "policy", F.when(n % 4 == 1, F.lit('{"bindings":[{"role":')).otherwise(F.col("policy")))
+
+
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight probe results per supplier; five from the bits of its key."""
     k = F.col("s_suppkey")

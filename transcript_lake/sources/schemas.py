@@ -63,5 +63,13 @@ PROBE_COLUMNS = [
 ]
 
 
+#: Column that keeps a document that is not the JSON its schema declares.
+CORRUPT = "_corrupt"
+
+
+def with_corrupt(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+
+
 def required_fields(schema: T.StructType) -> list[str]:
     return [f.name for f in schema.fields if not f.nullable]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Text form of DATETIME values used by uploads: seconds, no zone.
@@ -27,6 +27,11 @@ def as_of_col(as_of=None) -> Column:
     return F.lit(str(as_of)).cast("timestamp_ntz")
 
 
+def now_value(spark: SparkSession, clock: Column) -> dt.datetime:
+    """The value of a clock expression (one row), where the driver must compare it with file metadata."""
+    return spark.range(1).select(clock.cast("timestamp_ntz").alias("t")).first().t
+
+
 def days(n: int | float) -> Column:
     """An exact day-time interval of ``n`` days (24-hour days, no zone)."""
     return F.lit(dt.timedelta(days=n))

@@ -200,6 +200,24 @@ def oracle_sql() -> dict[str, str]:
     wiu = _s(WORKLOAD_IDENTITY_ROLE)
     keys = "resource, role, member"
     same = "p.resource = s.resource AND p.role = s.role AND p.member = s.member"
+    history = _with(f"""
+            SELECT CAST(processing_timestamp AS DATE) AS process_date,
+                   count(DISTINCT id) AS transcripts_processed,
+                   count(DISTINCT predicted_topic) AS unique_topics,
+                   min(processing_timestamp) AS first_process_time,
+                   max(processing_timestamp) AS last_process_time
+            FROM runs
+            WHERE processing_timestamp >= (SELECT as_of FROM clk) - INTERVAL {Q.MONITOR_DAYS} DAY
+            GROUP BY 1 ORDER BY 1 DESC""", "runs", "clk")
+    retention = _with(f"""
+            SELECT {cols} FROM t
+            WHERE created_at > (SELECT as_of FROM clk) - to_milliseconds({Q.RETENTION_MS})""", "t", "clk")
+    errors = """concat_ws('; ',
+                       CASE WHEN id IS NULL THEN 'id: REQUIRED' END,
+                       CASE WHEN created_at IS NULL THEN 'created_at: REQUIRED' END,
+                       CASE WHEN created_at IS NOT NULL AND TRY_CAST(created_at AS TIMESTAMP) IS NULL
+                            THEN 'created_at: invalid DATETIME' END,
+                       CASE WHEN content IS NULL THEN 'content: REQUIRED' END)"""
     return {
         "daily_stats": _with("""
             SELECT CAST(created_at AS DATE) AS "date", count(*) AS transcript_count,
@@ -219,30 +237,20 @@ def oracle_sql() -> dict[str, str]:
             SELECT {cols} FROM win7
             UNION ALL
             SELECT * FROM ({_SAMPLE}) WHERE NOT EXISTS (SELECT 1 FROM win7)""", "win7", "clk"),
+        "sample_fallback_empty": _with(f"""
+            SELECT id, created_at + to_days({Q.EMPTY_AFTER_DAYS}) AS created_at, content FROM ({_SAMPLE})""", "clk"),
         "transcript_features": _with("SELECT * FROM feat30", "feat30"),
         "topic_summary": _with(_topic_summary("runs"), "runs"),
-        "processing_history": _with(f"""
-            SELECT CAST(processing_timestamp AS DATE) AS process_date,
-                   count(DISTINCT id) AS transcripts_processed,
-                   count(DISTINCT predicted_topic) AS unique_topics,
-                   min(processing_timestamp) AS first_process_time,
-                   max(processing_timestamp) AS last_process_time
-            FROM runs
-            WHERE processing_timestamp >= (SELECT as_of FROM clk) - INTERVAL {Q.MONITOR_DAYS} DAY
-            GROUP BY 1 ORDER BY 1 DESC""", "runs", "clk"),
+        "processing_history": history,
+        "stored_history": history,
         "pipeline_summary": _with(_topic_summary("feat30"), "feat30"),
         "append_rows": _with(f"SELECT {cols} FROM t", "t"),
         "replace_processed": _with("SELECT * FROM feat30", "feat30"),
-        "invalid_rows": _with("""
-            SELECT id, created_at, errors FROM (
-              SELECT id, created_at, concat_ws('; ',
-                       CASE WHEN id IS NULL THEN 'id: REQUIRED' END,
-                       CASE WHEN created_at IS NULL THEN 'created_at: REQUIRED' END,
-                       CASE WHEN created_at IS NOT NULL AND TRY_CAST(created_at AS TIMESTAMP) IS NULL
-                            THEN 'created_at: invalid DATETIME' END,
-                       CASE WHEN content IS NULL THEN 'content: REQUIRED' END) AS errors
-              FROM dirty)
+        "invalid_rows": _with(f"""
+            SELECT id, created_at, errors FROM (SELECT id, created_at, {errors} AS errors FROM dirty)
             WHERE errors <> ''""", "dirty"),
+        "ingest_errors": _with(f"""
+            SELECT * FROM (SELECT {cols}, {errors} AS errors FROM dirty) WHERE errors <> ''""", "dirty"),
         "ingest_stream": _with("""
             SELECT id, TRY_CAST(created_at AS TIMESTAMP) AS created_at, content FROM dirty
             WHERE id IS NOT NULL AND content IS NOT NULL
@@ -251,9 +259,10 @@ def oracle_sql() -> dict[str, str]:
         "delete_where": _with(f"""
             SELECT {cols} FROM dirty
             WHERE NOT coalesce(length(content) < {Q.DELETE_BELOW_CHARS}, false)""", "dirty"),
-        "retention": _with(f"""
-            SELECT {cols} FROM t
-            WHERE created_at > (SELECT as_of FROM clk) - to_milliseconds({Q.RETENTION_MS})""", "t", "clk"),
+        "delete_by_id": _with(f"SELECT {cols} FROM t WHERE id <> {_s(Q.DELETE_ID)}", "t"),
+        "compacted_rows": _with(f"SELECT {cols} FROM t", "t"),
+        "retention": retention,
+        "expire_table": retention,
         "table_profile": _with("""
             SELECT count(*) AS num_rows, 'id,created_at,content' AS field_names FROM t""", "t"),
         "all_users": _with("SELECT DISTINCT email FROM acc", "acc"),

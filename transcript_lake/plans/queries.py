@@ -7,12 +7,13 @@ fixture's ``as_of`` (newest transcript), read inside the plan.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.time import days
+from ..functions.time import days, now_value
 from ..operators import audit as AU
 from ..operators import features as FE
 from ..operators import grants as GR
@@ -22,8 +23,8 @@ from ..session import new_table_path
 from ..sources import fixtures as FX
 from ..sources import sinks as SK
 from ..sources.schemas import PROCESSED, RAW_TRANSCRIPTS, TRANSCRIPTS
-from ..sources.tables import or_sample, read_table
-from ..streaming.ingest import start_ingest
+from ..sources.tables import or_sample, read_table, recent_or_sample
+from ..streaming.ingest import ingest_error_rows, start_ingest
 from ..streaming.suspicious import current_counts, start_suspicious_updates
 from .pipeline import run_pipeline
 
@@ -35,6 +36,9 @@ MONITOR_DAYS = 7
 RETENTION_MS = 14 * 24 * 3600 * 1000
 PREVIEW_ROWS = 5
 DELETE_BELOW_CHARS = 100
+DELETE_ID = "t7"
+EMPTY_AFTER_DAYS = 400
+COMPACT_WRITES = 4
 TARGET_ACCOUNT = "sa3"
 EXPECTED_CALLER = "u1@x.com"
 CALLER = "u7@x.com"
@@ -78,6 +82,15 @@ def sample_fallback(spark, sf):
     return or_sample(RD.recent(t, MONITOR_DAYS, clock), clock)
 
 
+def sample_fallback_empty(spark, sf):
+    """S3 where the window of a stored table has no row: as of long after the newest."""
+    t, clock = _t(spark, sf)
+    path = new_table_path(spark, "transcripts")
+    SK.append(t, path)
+    later = now_value(spark, clock + days(EMPTY_AFTER_DAYS))
+    return recent_or_sample(spark, path, MONITOR_DAYS, later)
+
+
 # -- features and pipeline ---------------------------------------------------
 
 def transcript_features(spark, sf):
@@ -94,10 +107,24 @@ def processing_history(spark, sf):
     return FE.processing_history(FX.processed_runs(spark, sf, clock), clock, MONITOR_DAYS)
 
 
+def stored_history(spark, sf):
+    """A4 on a table that each run was appended to; runs before the window are not opened."""
+    clock = now_value(spark, FX.as_of(spark, sf))
+    runs = FX.processed_runs(spark, sf, F.lit(clock))
+    path = new_table_path(spark, "transcripts_processed")
+    for d in FX.RUN_OFFSETS_DAYS:
+        SK.append(runs.where(F.col("processing_timestamp") == F.lit(clock) - days(d)), path, PROCESSED)
+    lower = clock - dt.timedelta(days=MONITOR_DAYS)
+    table = read_table(spark, path, PROCESSED, {"processing_timestamp": lower})
+    return FE.processing_history(table, clock, MONITOR_DAYS)
+
+
 def pipeline_summary(spark, sf):
     t, clock = _t(spark, sf)
-    return run_pipeline(spark, t, new_table_path(spark, "transcripts_processed"),
-                        RECENT_DAYS, clock)
+    source = new_table_path(spark, "transcripts")
+    SK.append(t, source)
+    newest = now_value(spark, clock)
+    return run_pipeline(spark, source, new_table_path(spark, "transcripts_processed"), RECENT_DAYS, newest)
 
 
 # -- table changes -----------------------------------------------------------
@@ -134,18 +161,49 @@ def delete_where(spark, sf):
     return SK.delete_from(spark, path, F.length("content") < DELETE_BELOW_CHARS, RAW_TRANSCRIPTS)
 
 
+def delete_by_id(spark, sf):
+    path = new_table_path(spark, "transcripts")
+    SK.append(FX.transcripts(spark, sf), path)
+    return SK.delete_from(spark, path, F.col("id") == DELETE_ID).select(COLS)
+
+
+def expire_table(spark, sf):
+    t, clock = _t(spark, sf)
+    path = new_table_path(spark, "transcripts")
+    SK.append(t, path)
+    return SK.expire_table(spark, path, RETENTION_MS, now_value(spark, clock)).select(COLS)
+
+
+def compacted_rows(spark, sf):
+    """K1 in several writes without clustering, then merged."""
+    t = FX.transcripts(spark, sf)
+    path = new_table_path(spark, "transcripts")
+    for k in range(COMPACT_WRITES):
+        SK.append(t.where(F.pmod(F.xxhash64("id"), F.lit(COMPACT_WRITES)) == k), path, cluster=False)
+    SK.compact(spark, path)
+    return read_table(spark, path).select(COLS)
+
+
+def ingest_errors(spark, sf):
+    """W1's error table."""
+    return _ingest(spark, sf)[1]
+
+
 def ingest_stream(spark, sf):
     """W1 as a stream: uploads land as files, the stream validates them, good
     rows go to the landing table and bad rows to an error table."""
+    return _ingest(spark, sf)[0]
+
+
+def _ingest(spark, sf):
     src = new_table_path(spark, "uploads_landing")
     FX.dirty_rows(spark, sf).write.parquet(src)
-    table = new_table_path(spark, "transcripts_landing")
-    q = start_ingest(spark, src, table, new_table_path(spark, "upload_errors"),
-                     new_table_path(spark, "ingest_ckpt"), available_now=True)
+    table, errors = new_table_path(spark, "transcripts_landing"), new_table_path(spark, "upload_errors")
+    q = start_ingest(spark, src, table, errors, new_table_path(spark, "ingest_ckpt"), available_now=True)
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return read_table(spark, table).select(COLS)
+    return read_table(spark, table).select(COLS), ingest_error_rows(spark, errors)
 
 
 def retention(spark, sf):
@@ -300,9 +358,10 @@ def access_level(spark, sf):
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in [
     daily_stats, transcript_preview, recent_transcripts, rows_on_day, any_row, sample_fallback,
-    transcript_features, topic_summary, processing_history, pipeline_summary,
-    append_rows, replace_processed, invalid_rows, ingest_stream, create_as_select, delete_where,
-    retention,
+    sample_fallback_empty,
+    transcript_features, topic_summary, processing_history, stored_history, pipeline_summary,
+    append_rows, replace_processed, invalid_rows, ingest_stream, ingest_errors, create_as_select, delete_where,
+    delete_by_id, compacted_rows, retention, expire_table,
     table_profile,
     all_users, normalize_principals, expand_grants, log_viewers, grant_summary, invalid_members,
     flatten_policy, members_with_role, policy_has_member, stale_bindings, remove_bindings,

@@ -45,6 +45,12 @@ def batch_writer(table_path: str, error_path: str):
     return write
 
 
+def ingest_error_rows(spark: SparkSession, error_path: str) -> DataFrame:
+    """The refused rows: their raw values and ``errors``."""
+    fields = [*RAW_TRANSCRIPTS.fieldNames(), "errors"]
+    return spark.read.schema(", ".join(f"{c} string" for c in [*fields, BATCH_COLUMN])).parquet(error_path).select(fields)
+
+
 def start_ingest(spark: SparkSession, source_dir: str, table_path: str, error_path: str,
                  checkpoint: str, fmt: str = "parquet", available_now: bool = False,
                  processing_time: str | None = None) -> StreamingQuery:

@@ -116,3 +116,16 @@ def test_required_check_reaches_parquet(spark, stored):
     cond = reduce(lambda a, b: a | b, [F.col(f.name).isNull() for f in TRANSCRIPTS.fields if not f.nullable])
     p = plan(read_table(spark, stored).filter(cond).limit(1))
     assert "PushedFilters: [Or(Or(IsNull(id),IsNull(created_at)),IsNull(content))]" in p
+
+
+@pytest.mark.parametrize("key", ["daily_stats", "transcript_preview", "topic_summary", "rows_on_day", "any_row"])
+def test_no_text_is_shuffled_without_broadcast(spark, key):
+    confs = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    try:
+        for c in confs:
+            spark.conf.set(c, "-1")
+        shuffled = exchange_inputs(plan(QUERIES[key](spark, SMALL)))
+    finally:
+        for c in confs:
+            spark.conf.unset(c)
+    assert shuffled and not any(re.search(r"\b(content|text)#", line) for line in shuffled)

@@ -9,7 +9,7 @@ from transcript_lake.sources import fixtures as FX
 from transcript_lake.sources import sinks as SK
 from transcript_lake.sources.schemas import TRANSCRIPTS
 from transcript_lake.sources.tables import read_table
-from transcript_lake.streaming.ingest import start_ingest
+from transcript_lake.streaming.ingest import ingest_error_rows, start_ingest
 from transcript_lake.streaming.suspicious import suspicious_stream
 from conftest import SMALL
 
@@ -25,7 +25,7 @@ def test_ingest_stream_equals_batch(spark, tmp, parts):
     good, bad = SK.validate(raw, TRANSCRIPTS)
     got = read_table(spark, table).select(TRANSCRIPTS.fieldNames())
     assert sorted(got.collect()) == sorted(good.collect())
-    got_bad = spark.read.parquet(errors).select(bad.columns)
+    got_bad = ingest_error_rows(spark, errors).select(bad.columns)
     assert sorted(got_bad.collect(), key=repr) == sorted(bad.collect(), key=repr)
 
 
@@ -38,9 +38,35 @@ def test_ingest_batch_replay_is_idempotent(spark, tmp):
     write(raw, 0)          # the same batch again after a failure
     write(raw.limit(10), 1)
     good, bad = SK.validate(raw, TRANSCRIPTS)
-    got = read_table(spark, table)
-    assert got.filter("ingest_batch = 0").count() == good.count()
-    assert spark.read.parquet(errors).filter("ingest_batch = 0").count() == bad.count()
+    more, worse = SK.validate(raw.limit(10), TRANSCRIPTS)
+    SK.compact(spark, table)                # merging forgets the batch's files, not the batch
+    write(raw, 0)
+    write(raw.limit(10), 1)
+    assert read_table(spark, table).count() == good.count() + more.count()
+    assert ingest_error_rows(spark, errors).count() == bad.count() + worse.count()
+
+
+def test_batch_that_reached_one_table_only_is_finished(spark, tmp):
+    from transcript_lake.streaming.ingest import ERROR_ROWS, batch_writer
+    raw = FX.dirty_rows(spark, SMALL)
+    good, bad = SK.validate(raw, TRANSCRIPTS)
+    table, errors = os.path.join(tmp, "table"), os.path.join(tmp, "errors")
+    SK.append_batch(good, table, TRANSCRIPTS, "ingest", 0)          # then the driver was lost
+    batch_writer(table, errors)(raw, 0)
+    assert read_table(spark, table).count() == good.count()
+    assert read_table(spark, errors, ERROR_ROWS).count() == bad.count()
+
+
+def test_many_batches_leave_few_files(spark, tmp):
+    import datetime as dt
+    from transcript_lake.sources import versions as V
+    path, day = os.path.join(tmp, "t"), dt.datetime(2024, 1, 1)
+    for k in range(30):
+        rows = spark.createDataFrame([(f"b{k}r{i}", day + dt.timedelta(days=i, seconds=k), "x") for i in range(2)],
+                                     TRANSCRIPTS)
+        SK.append_batch(rows, path, TRANSCRIPTS, "s", k, merge_at=4)
+        assert len(V.head(spark, path).segments) <= 2 * 5
+    assert read_table(spark, path).count() == 60 and SK.table_profile(spark, path).first().num_files <= 10
 
 
 @pytest.mark.parametrize("parts", [1, 3, 7])
@@ -118,6 +144,44 @@ def test_late_entries_behind_the_watermark_are_dropped(spark, tmp):
     assert dropped == 1
 
 
+def test_count_log_loses_no_entry(spark, tmp):
+    """Late and unreadable entries over several micro-batches, with merges in between: counted + errors = all."""
+    import json
+    from transcript_lake.streaming.suspicious import audit_error_rows, count_log, current_counts, start_suspicious_updates
+    src = os.path.join(tmp, "audit")
+    os.makedirs(src)
+
+    def entry(ts, caller="eve@x.com"):
+        return json.dumps({"insertId": "1", "timestamp": ts,
+                           "protoPayload": {"methodName": "GenerateAccessToken", "request": {"name": "sa"},
+                                            "authenticationInfo": {"principalEmail": caller}}})
+    files = [[entry("2024-01-01T10:00:00Z"), entry("2024-01-01T12:00:00Z"), "broken", entry("2024-01-01T12:00:00Z", "u1@x.com")],
+             [entry("2024-01-01T12:00:20Z"), entry("noon")],
+             [entry("2024-01-01T15:00:30+05:00"), entry("2024-01-01T11:45:00Z"), entry("2024-01-01T12:00:40Z")],
+             [entry("2024-01-01T10:00:59Z")], ["", entry("2024-01-01T13:00:00Z")], [entry("2024-01-01T12:00:01Z")]]
+    for i, lines in enumerate(files):
+        path = os.path.join(src, f"{i}.json")
+        with open(path, "w") as f:
+            f.write("\n".join(lines) + "\n")
+        os.utime(path, (1000 + i, 1000 + i))            # arrival order
+    log, errors = os.path.join(tmp, "log"), os.path.join(tmp, "errors")
+    start = lambda: start_suspicious_updates(
+        spark, src, log, os.path.join(tmp, "ckpt"), "u1@x.com", "1 minute", "30 minutes", available_now=True,
+        error_path=errors, max_files_per_trigger=1, merge_at=3)
+    q = start()
+    q.awaitTermination(300)
+    assert q.exception() is None
+    got = {r.window_start.strftime("%H:%M"): (r.suspicious_count, r.late_count) for r in count_log(spark, log).collect()}
+    # 12:00 was closed by the entry of 13:00; 11:45 came within 30 minutes of 12:00:20
+    assert got == {"10:00": (3, 2), "11:45": (1, 0), "12:00": (4, 1), "13:00": (1, 0)}
+    assert sorted(r.errors for r in audit_error_rows(spark, errors).collect()) == [
+        "entry: malformed", "entry: malformed", "timestamp: invalid"]
+    counted = sum(r.suspicious_count for r in current_counts(spark, log).collect())
+    assert counted + 3 + 1 == sum(map(len, files))      # three errors, one expected caller
+    start().awaitTermination(300)                       # nothing new: nothing changes
+    assert sum(r.suspicious_count for r in current_counts(spark, log).collect()) == counted
+
+
 def test_quiet_update_log_has_no_counts(spark, tmp):
     from transcript_lake.streaming.suspicious import current_counts
 

@@ -25,14 +25,15 @@ def features(df: DataFrame, as_of=None,
     the same values, whatever the partitioning. ``scorer`` may supply a real
     sentiment model as a column function, e.g. a pandas UDF over content.
     Input columns outside the declared schema are passed through at the end.
+    Rows may come with ``word_count`` and ``char_count`` measured.
     """
     content = F.col("content")
     names = PROCESSED.fieldNames()
     extra = [c for c in df.columns if c not in names]
     base = df.select(
         "id", "created_at", "content", *extra,
-        word_count(content).alias("word_count"),
-        char_count(content).alias("char_count"),
+        (F.col("word_count") if "word_count" in df.columns else word_count(content)).alias("word_count"),
+        (F.col("char_count") if "char_count" in df.columns else char_count(content)).alias("char_count"),
         keyed_hash(F.col("id"), DRAW_SALT).alias("_h"),
     )
     sentiment = scorer(content) if scorer else uniform(draw(F.col("_h"), 0), -1.0, 1.0)

@@ -50,16 +50,22 @@ def any_row(df: DataFrame) -> DataFrame:
     return df.limit(1).select(F.lit(1).alias("ok"))
 
 
+def _or_own(df: DataFrame, name: str, value: Column) -> Column:
+    """The column ``name`` where an earlier step has measured it, else ``value``."""
+    return (F.col(name) if name in df.columns else value).alias(name)
+
+
 def preview(df: DataFrame, n: int = 5, order_by: str | None = None) -> DataFrame:
     """id, created_at, length and the first 50 characters of ``n`` rows.
 
     Without ``order_by`` any ``n`` rows qualify (as in the source query);
-    with it the choice is repeatable and runs as a per-partition top-k.
+    with it the choice is repeatable and runs as a per-partition top-k. Rows may
+    come with ``content_length`` and ``content_preview`` measured and without the text.
     """
     out = df.select(
         "id", "created_at",
-        char_count(F.col("content")).alias("content_length"),
-        preview_text(F.col("content")).alias("content_preview"),
+        _or_own(df, "content_length", char_count(F.col("content"))),
+        _or_own(df, "content_preview", preview_text(F.col("content"))),
     )
     if order_by:
         out = out.orderBy(order_by)
@@ -70,13 +76,14 @@ def daily_stats(df: DataFrame, n_days: int = 7) -> DataFrame:
     """Per calendar day: count, mean length, first and last timestamp.
 
     Lengths are computed before the shuffle, so only a handful of numbers
-    per row and day leave each task; newest ``n_days`` days are kept.
+    per row and day leave each task; newest ``n_days`` days are kept. Rows may
+    come with ``content_length`` measured and without the text.
     """
     day = (F.col(PARTITION_COLUMN) if PARTITION_COLUMN in df.columns
            else F.to_date("created_at"))
     return (df.groupBy(day.alias("date"))
               .agg(F.count(F.lit(1)).alias("transcript_count"),
-                   F.round(F.avg(F.length("content")), 6).alias("avg_content_length"),
+                   F.round(F.avg(_or_own(df, "content_length", F.length("content"))), 6).alias("avg_content_length"),
                    F.min("created_at").alias("earliest_transcript"),
                    F.max("created_at").alias("latest_transcript"))
               .orderBy(F.desc("date"))

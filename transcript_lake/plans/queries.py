@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import char_count, preview_text
 from ..functions.time import days, now_value
 from ..operators import audit as AU
 from ..operators import features as FE
@@ -56,11 +57,13 @@ def _t(spark, sf):
 # -- read side ---------------------------------------------------------------
 
 def daily_stats(spark, sf):
-    return RD.daily_stats(FX.transcripts(spark, sf))
+    return RD.daily_stats(FX.transcripts_keyed(spark, sf, content_length=F.length("content")))
 
 
 def transcript_preview(spark, sf):
-    return RD.preview(FX.transcripts(spark, sf), PREVIEW_ROWS, order_by="id")
+    measured = FX.transcripts_keyed(spark, sf, content_length=char_count(F.col("content")),
+                                    content_preview=preview_text(F.col("content")))
+    return RD.preview(measured, PREVIEW_ROWS, order_by="id")
 
 
 def recent_transcripts(spark, sf):
@@ -99,7 +102,7 @@ def transcript_features(spark, sf):
 
 
 def topic_summary(spark, sf):
-    return FE.topic_summary(FX.processed_runs(spark, sf))
+    return FE.topic_summary(FX.processed_runs(spark, sf, text=False))
 
 
 def processing_history(spark, sf):

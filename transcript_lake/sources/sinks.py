@@ -14,6 +14,8 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
+from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -151,6 +153,32 @@ def _add(out: DataFrame, path: str, schema: T.StructType, dated: bool, cluster:
     return version
 
 
+#: Writes of one date that a stream leaves before they are merged.
+MERGE_AT = 32
+
+
+def append_batch(df: DataFrame, path: str, schema: T.StructType, stream: str, batch: int,
+                 merge_at: int = MERGE_AT, merge: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
+    """Add a stream's micro-batch to a versioned table exactly once.
+
+    The table remembers each stream's last batch (one number), so a batch that is
+    replayed after a failure is skipped. When a date has more than
+    ``merge_at`` writes they become one, so files stay bounded however many batches
+    there are; ``merge`` may reduce the merged rows.
+    """
+    spark = df.sparkSession
+    if V.has_batch(V.head(spark, path), stream, batch):
+        return
+    out, parts = _with_partition(require(conform(df, schema), schema))
+    commit = V.stage(out, path, bool(parts))
+    new = V.measure(spark, path, commit, schema, bool(parts))
+    version = V.change(spark, path, new, stream=(stream, batch))
+    if not new:
+        V.discard(spark, path, commit)
+    if max(Counter(s.date for s in version.segments).values(), default=0) > merge_at:
+        compact(spark, path, schema, merge_at, merge)
+
+
 def checked_append(raw: DataFrame, path: str, schema: T.StructType = TRANSCRIPTS,
                    all_or_nothing: bool = True) -> DataFrame:
     """Validate, then append (K3). Returns the error rows.
@@ -296,17 +324,19 @@ def _rewrite(spark: SparkSession, path: str, version: V.Version, keys: set, sche
     _add(out, path, schema, bool(parts), drop=keys)
 
 
-def compact(spark: SparkSession, path: str, schema: T.StructType = TRANSCRIPTS, most: int = 1) -> int:
+def compact(spark: SparkSession, path: str, schema: T.StructType = TRANSCRIPTS, most: int = 1,
+            merge: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> int:
     """Merge the writes of every date that has more than ``most`` of them; the number of dates merged.
 
-    Only those dates are read and written, in files of the advisory partition size.
+    Only those dates are read and written, in files of the advisory partition
+    size. ``merge`` may reduce the merged rows (counts of a window to their sum).
     """
     version = V.head(spark, path)
     by_date: dict = {}
     for s in version.segments if version else []:
         by_date.setdefault(s.date, set()).add(s.key)
     many = [keys for keys in by_date.values() if len(keys) > most]
-    _rewrite(spark, path, version, set().union(*many), schema, lambda rows: rows)
+    _rewrite(spark, path, version, set().union(*many), schema, merge)
     return len(many)
 
 

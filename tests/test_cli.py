@@ -55,3 +55,31 @@ def test_reports_are_whole(spark, tmp, capsys):
     assert out.count("invalid") == 50 and "50 bad rows" in out
     _print_all(spark.range(300))
     assert "300 rows" in capsys.readouterr().out
+
+
+def test_cli_table_jobs(spark, tmp, capsys):
+    table = os.path.join(tmp, "transcripts")
+    SK.append(FX.transcripts(spark, SMALL), table)
+    n = SK.table_profile(spark, table).first().num_rows
+    assert main(["delete", "--table", table, "--id", "t7"], spark) == 0
+    assert main(["delete", "--table", table, "--id", "t7"], spark) == 0
+    out = capsys.readouterr().out
+    assert "1 rows deleted" in out and "0 rows deleted" in out
+    SK.append(FX.transcripts(spark, SMALL).limit(3), table)
+    assert main(["compact", "--table", table], spark) == 0
+    assert "dates merged" in capsys.readouterr().out
+    assert main(["--as-of", AS_OF, "expire", "--table", table, "--days", "7"], spark) == 0
+    kept = int(capsys.readouterr().out.split()[0])
+    assert 0 < kept < n
+
+
+def test_cli_audit(spark, tmp, capsys):
+    from transcript_lake.streaming.suspicious import audit_error_rows
+    entries, errors = os.path.join(tmp, "log"), os.path.join(tmp, "errors")
+    FX.audit_dirty(spark, SMALL).write.text(entries)
+    assert main(["audit", "--entries", entries, "--expected", "u1@x.com", "--errors", errors], spark) == 1
+    assert "entry: malformed" in capsys.readouterr().out
+    assert audit_error_rows(spark, errors).count() > 0
+    clean = os.path.join(tmp, "clean")
+    FX.audit_json(spark, SMALL).write.text(clean)
+    assert main(["audit", "--entries", clean, "--expected", "u1@x.com"], spark) == 0

@@ -27,7 +27,9 @@ def split_audit(entries: DataFrame, col: str = "entry") -> tuple[DataFrame, Data
     """
     raw = F.col(col)
     e = F.from_json(raw, with_corrupt(AUDIT_ENTRY), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    rows = entries.select(raw.alias("entry"), e.alias("e")).withColumn("ts", utc_time(F.col("e.timestamp")))
+    # a generator is computed once, where a projection would be copied into every filter that uses it
+    rows = entries.select(raw.alias("entry"), F.explode(F.array(e)).alias("e"))
+    rows = rows.select("*", F.explode(F.array(utc_time(F.col("e.timestamp")))).alias("ts"))
     broken = F.col("e").isNull() | F.col(f"e.{CORRUPT}").isNotNull()
     why = (F.when(F.col("entry").isNull(), "entry: missing")
            .when(broken, "entry: malformed")

@@ -22,7 +22,7 @@ def _parsed(policies: DataFrame) -> DataFrame:
     p = F.from_json("policy", with_corrupt(POLICY), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     broken = F.col("p").isNull() | F.col(f"p.{CORRUPT}").isNotNull()
     why = F.when(F.col("policy").isNull(), "policy: missing").when(broken, "policy: malformed")
-    return policies.select("resource", "policy", p.alias("p")).withColumn("errors", why)
+    return policies.select("resource", "policy", F.explode(F.array(p)).alias("p")).withColumn("errors", why)
 
 
 def parse_policy(policies: DataFrame) -> DataFrame:

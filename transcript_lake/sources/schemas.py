@@ -56,6 +56,9 @@ AUDIT_ENTRY = T.StructType([
     ])),
 ])
 
+# Audit entries that could not be read, with the reason.
+AUDIT_ERRORS = T.StructType([T.StructField("entry", T.StringType()), T.StructField("errors", T.StringType())])
+
 # Probe results for one identity on one dataset, in the order they are run.
 PROBE_COLUMNS = [
     "dataset_exists", "can_list_tables", "can_get_dataset", "can_create_table",

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from ..operators.audit import audit_unexpected, parse_audit, split_audit
 from ..sources import versions as V
+from ..sources.schemas import AUDIT_ERRORS
 from ..sources.sinks import MERGE_AT, append_batch
 from ..sources.tables import read_table
 
@@ -69,8 +70,6 @@ COUNTS = T.StructType([
     T.StructField("suspicious_count", T.LongType()), T.StructField("late_count", T.LongType()),
     T.StructField("last_event", T.TimestampNTZType()),
 ])
-#: The error table: entries that could not be read.
-AUDIT_ERRORS = T.StructType([T.StructField("entry", T.StringType()), T.StructField("errors", T.StringType())])
 
 
 def _merged(rows: DataFrame) -> DataFrame:

@@ -38,7 +38,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(docs)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long"))
+        n_dropped = line_dedup.count_names(docs.columns)[1]
+        out = out.withColumn("n_chars", F.when(F.col(n_dropped) > 0, F.char_length("text").cast("long"))
                              .otherwise(F.col("n_chars")))
     return out.select(docs.columns)
 

@@ -156,6 +156,48 @@ def test_line_dedup_odd_rows(odd, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_keeps_the_corpus_own_columns(spark):
+    long = "a line that is long enough to count"
+    rows = [(i, f"{long}\nown {i}", "mine", "also mine") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_dropped string, n_lines_ string")
+    got = line_dedup.dedup_lines(docs).orderBy("doc_id").collect()
+    assert got[0].__fields__ == ["doc_id", "text", "n_dropped", "n_lines_", "n_lines", "n_dropped_"]
+    assert [tuple(r)[2:] for r in got] == [("mine", "also mine", 2, 1)] * 2 + [("mine", "also mine", 2, 0)]
+    kept = corpus_pipeline.lines(spark, docs.withColumn("n_chars", F.lit(99).cast("long")), None)
+    assert kept.columns == [*docs.columns, "n_chars"]
+    assert {(r.n_dropped, r.n_chars) for r in kept.collect()} == {("mine", 5), ("mine", 99)}
+
+
+def test_line_dedup_brute_force_with_repeats(spark):
+    rng = random.Random(12)
+    pool = [f"shared line number {i} of the pool" for i in range(12)] + ["short", "", "  SHARED line number 3 of the pool "]
+    rows = [(i // 2 if i % 5 == 0 else i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    key = lambda x: x.strip(" \t\n\x0b\f\r").lower()
+    held = defaultdict(set)
+    for i, t in rows:
+        for x in t.split("\n"):
+            if len(key(x)) >= 20:
+                held[key(x)].add(i)
+    gone = lambda i, x: len(held[key(x)]) >= 3 and i != max(held[key(x)]) if len(key(x)) >= 20 else False
+    want = sorted((i, "\n".join(x for x in t.split("\n") if not gone(i, x)), len(t.split("\n"))) for i, t in rows)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text, r.n_lines) for r in got) == want
+
+
+def test_line_dedup_is_linear_in_a_text(spark):
+    import time
+    took = []
+    for n in (8_000, 32_000):
+        text = "\n".join(f"a line that many texts share {i % 4000}" for i in range(n))
+        docs = spark.createDataFrame([(i, text) for i in range(3)], "doc_id long, text string")
+        line_dedup.dedup_lines(docs).count()
+        t = time.perf_counter()
+        got = line_dedup.dedup_lines(docs).orderBy("doc_id").collect()
+        took.append(time.perf_counter() - t)
+        assert [r.n_dropped for r in got] == [n, n, 0] and got[2].text == text
+    assert took[1] < 4 * took[0] + 4                       # quadratic: sixteen times as long, minutes
+
+
 # -- tiling ---------------------------------------------------------------------------
 
 def _tiling(d, b, k):

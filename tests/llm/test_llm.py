@@ -233,6 +233,42 @@ def test_tiling_matches_exhaustive_search():
         assert got == _tiling(d, b, 3)
 
 
+def test_tiling_with_repeats_and_ties():
+    rng = random.Random(15)
+    for n in range(150):
+        words = rng.choice([1, 2, 3, 6])
+        b = [rng.randint(1, words) for _ in range(rng.randint(4, 40))]
+        d = [rng.choice([rng.randint(1, words), 99]) if rng.random() < 0.3 else rng.choice(b) for _ in range(rng.randint(0, 70))]
+        cut = rng.randint(0, len(d))
+        d[cut:cut] = b[:rng.randint(0, len(b))]
+        if not d:
+            continue
+        covered, tiles = decontaminate.tile([np.array(d, np.uint64)], np.array(b, np.uint64), 3)
+        assert covered == _tiling(d, b, 3), n
+
+
+def test_tiling_of_one_repeated_word_is_fast():
+    import time
+    item, doc = np.full(2000, 7, np.uint64), np.full(8000, 7, np.uint64)
+    doc[::701] = 8
+    t = time.perf_counter()
+    covered, tiles = decontaminate.tile([doc], item, 4)
+    assert covered == 2000 and tiles == 3 and time.perf_counter() - t < 5
+
+
+def test_shared_openings_and_equal_items():
+    import time
+    opening = " ".join(f"o{i}" for i in range(60))
+    texts = [f"{opening} {' '.join(f'x{k}y{j}' for j in range(20))}" for k in range(400)] + [f"{opening} again"] * 3
+    block = decontaminate.Block(list(range(len(texts))), texts, 4)
+    (s,) = textvec.slices(pa.array([f"before {opening} after", "nothing of it", texts[0]]))
+    t = time.perf_counter()
+    hits = block.pairs(s, 0.5, first=True)
+    assert [h[0] for h in hits] == [0, 2] and time.perf_counter() - t < 1
+    every = block.pairs(s, 0.5)
+    assert len(every) == 2 * len(texts) and {h[1] for h in every if h[0] == 0} == set(range(len(texts)))
+
+
 def test_contaminated_pairs_and_blocks(spark, odd, empty):
     item = "alpha beta gamma delta. Epsilon zeta eta theta. Iota kappa lambda mu"
     bench = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, "w1 w2 w3 w4 w5 w6")], "item_id long, text string")

@@ -9,8 +9,12 @@ are runs of letters and digits, A-Z lower-cased.
 Each document is scanned once: hashes of its ``MIN_MATCH``-word windows are
 looked up among those of the benchmark (the seeds). Only pairs whose seeds could
 cover ``threshold`` of the item are tiled, by the running Karp-Rabin search:
-windows of a search length are matched by hash, matches are extended and the
-longest marked first, then the length is halved, down to ``MIN_MATCH``.
+windows of a search length are matched by rolling hash, only a match's first pair is
+kept, its length is found by a binary search over the hashes, and the longest
+free match is marked first; then the length is halved, down to ``MIN_MATCH``. All of
+that is numpy over whole arrays, so repeated words cost no loop over their pairs.
+Items with equal words are tiled once; where only the verdict on a document is
+wanted, its first contaminating item ends the search.
 
 The benchmark is a query set: it is taken in blocks of at most ``BLOCK_BYTES``
 of text (or one item), each block is broadcast and all documents are scanned
@@ -24,7 +28,7 @@ repeated items a pair each. Empty tables give no pair. Other columns pass.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +53,10 @@ class Block:
             rows, _, _, h = s.words(T.ALNUM)
             cut = np.searchsorted(rows, np.arange(len(s) + 1))
             self.words += [h[a:b] for a, b in zip(cut[:-1], cut[1:])]
+        self.same: dict[bytes, list[int]] = {}          # items of equal words are tiled once, as the first of them
         for i, w in enumerate(self.words):
+            self.same.setdefault(w.tobytes(), []).append(i)
+        for i, w in ((ids[0], self.words[ids[0]]) for ids in self.same.values()):
             _, x = T.windows(np.zeros(len(w), np.int64), w, k)
             seeds.append(x)
             item.append(np.full(len(x), i))
@@ -61,8 +68,8 @@ class Block:
         self.hit = np.zeros(1 << self.bits, bool)       # a quick first test
         self.hit[(self.seeds >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
-    def pairs(self, s: T.Slice, threshold: float) -> list[tuple[int, int, int, int]]:
-        """(row, item, covered words, tiles) of every pair that reaches the threshold."""
+    def pairs(self, s: T.Slice, threshold: float, first: bool = False) -> list[tuple[int, int, int, int]]:
+        """(row, item, covered words, tiles) of every pair that reaches the threshold, or of each row's ``first``."""
         rows, _, _, h = s.words(T.ALNUM)
         k = self.k
         m = len(h) - k + 1
@@ -83,8 +90,10 @@ class Block:
         order = np.lexsort((dpos, item, drow))
         drow, item, ipos, dpos = drow[order], item[order], ipos[order], dpos[order]
         starts = np.flatnonzero(np.r_[True, (drow[1:] != drow[:-1]) | (item[1:] != item[:-1])])
-        out = []
+        out: list[tuple[int, int, int, int]] = []
         for a, b in zip(starts, np.r_[starts[1:], len(drow)]):
+            if first and out and out[-1][0] == drow[a]:
+                continue
             words = self.words[item[a]]
             can = np.zeros(len(words), bool)
             can[(np.unique(ipos[a:b])[:, None] + np.arange(k)).ravel()] = True
@@ -92,7 +101,8 @@ class Block:
                 continue
             covered, tiles = tile(near(h, dpos[a:b], k), words, k)
             if covered >= threshold * len(words):
-                out.append((int(drow[a]), int(item[a]), covered, tiles))
+                alike = [int(item[a])] if first else self.same[words.tobytes()]
+                out += [(int(drow[a]), i, covered, tiles) for i in alike]
         return out
 
 
@@ -104,59 +114,118 @@ def near(h: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
 
 
 def tile(stretches: list[np.ndarray], item: np.ndarray, k: int) -> tuple[int, int]:
-    """(covered words of ``item``, tiles) by running Karp-Rabin greedy string tiling."""
+    """(covered words of ``item``, tiles) by running Karp-Rabin greedy string tiling.
+
+    The longest match that is still free is marked first, of equal ones the first in the
+    document and then in the item. A match that loses words to a longer tile
+    goes on with its free runs, so the order is exact also among repeated words.
+    """
     gap = np.zeros(1, np.uint64)
     doc = np.concatenate([x for s in stretches for x in (s, gap)])      # stretches do not touch
     free_d, free_i = np.ones(len(doc), bool), np.ones(len(item), bool)
     free_d[np.cumsum([len(s) + 1 for s in stretches]) - 1] = False
+    sums = _prefixes(doc), _prefixes(item)
     covered = tiles = 0
     length = max(k, min(FIRST_LENGTH, len(item)))
     while True:
-        matches = scan(doc, item, free_d, free_i, length)
-        longest = max(matches, default=0)
-        if longest > 2 * length:
-            length = longest
-            continue
-        for size in sorted(matches, reverse=True):
-            for d, i in matches[size]:
-                if free_d[d:d + size].all() and free_i[i:i + size].all():
-                    free_d[d:d + size] = free_i[i:i + size] = False
-                    covered, tiles = covered + size, tiles + 1
-                else:           # part of it went to a longer tile: what is left is found at a shorter length
-                    continue
-        if length == k and not matches:
-            return covered, tiles
-        if length > k:
-            length = max(k, length // 2)
-
-
-def scan(doc: np.ndarray, item: np.ndarray, free_d: np.ndarray, free_i: np.ndarray,
-         length: int) -> dict[int, list[tuple[int, int]]]:
-    """Maximal free matches of at least ``length`` words, by size."""
-    zero = lambda a: np.zeros(len(a), np.int64)
-    _, hd = T.windows(zero(doc), doc, length)
-    _, hi = T.windows(zero(item), item, length)
-    open_ = lambda free, n: np.convolve(free, np.ones(length), "valid")[:n] == length
-    table = defaultdict(list)
-    if len(hi):
-        for i in np.flatnonzero(open_(free_i, len(hi))):
-            table[int(hi[i])].append(int(i))
-    out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    if not table or not len(hd):
-        return out
-    for d in np.flatnonzero(open_(free_d, len(hd)) & np.isin(hd, np.array(list(table), np.uint64))):
-        for i in table[int(hd[d])]:
-            back = d and i and doc[d - 1] == item[i - 1] and free_d[d - 1] and free_i[i - 1]
-            if back or not (doc[d:d + length] == item[i:i + length]).all():
+        size, d, i = scan(doc, item, free_d, free_i, length, sums)
+        heap = list(zip((-size).tolist(), d.tolist(), i.tolist()))
+        heapify(heap)
+        while heap:
+            minus, d0, i0 = heappop(heap)
+            free = free_d[d0:d0 - minus] & free_i[i0:i0 - minus]
+            if free.all():
+                free_d[d0:d0 - minus] = free_i[i0:i0 - minus] = False
+                covered, tiles = covered - minus, tiles + 1
                 continue
-            size = length
-            while (d + size < len(doc) and i + size < len(item) and doc[d + size] == item[i + size]
-                   and free_d[d + size] and free_i[i + size]):
-                size += 1
-            out[size].append((int(d), i))
+            edge = np.flatnonzero(np.diff(np.r_[False, free, False]))
+            for at, end in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                if end - at >= length:                  # shorter runs are found by a later scan
+                    heappush(heap, (at - end, d0 + at, i0 + at))
+        if length == k:
+            return covered, tiles
+        length = max(k, length // 2)
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _prefixes(words: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of the first 0, 1, 2 ... words."""
+    out, h = np.zeros(len(words) + 1, np.uint64), 0
+    base = int(_BASE)
+    for j, w in enumerate(words.tolist(), 1):
+        h = (h * base + w) & 0xFFFFFFFFFFFFFFFF
+        out[j] = h
+    return out
+
+
+def _free_runs(free: np.ndarray) -> np.ndarray:
+    """How many free words there are from each position on without a gap."""
+    at = np.arange(len(free))
+    blocked = np.where(free, len(free), at)
+    return np.minimum.accumulate(blocked[::-1])[::-1] - at
+
+
+def scan(doc: np.ndarray, item: np.ndarray, free_d: np.ndarray, free_i: np.ndarray, length: int,
+         sums: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, start in the document, start in the item) of the maximal free matches of ``length`` words or more."""
+    none = (np.zeros(0, np.int64),) * 3
+    run_d, run_i = _free_runs(free_d), _free_runs(free_i)
+    at_d, at_i = np.flatnonzero(run_d >= length), np.flatnonzero(run_i >= length)
+    if not len(at_d) or not len(at_i):
+        return none
+    window = lambda s, at: s[at + length] - s[at] * _power(length)
+    hd, hi = window(sums[0], at_d), window(sums[1], at_i)
+    order = np.argsort(hi, kind="stable")
+    hi, at_i = hi[order], at_i[order]
+    lo, up = np.searchsorted(hi, hd, "left"), np.searchsorted(hi, hd, "right")
+    # a start is a match's first pair unless the words before it are free and equal
+    open_d, open_i = (at_d > 0) & free_d[at_d - 1], (at_i > 0) & free_i[at_i - 1]
+    before_d, before_i = doc[at_d - 1], item[at_i - 1]
+    ds, js = [], []
+    for a, b in _pieces(up - lo):
+        n = (up - lo)[a:b]
+        d = np.repeat(np.arange(a, b), n)
+        j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[a:b], n)
+        first = ~(open_d[d] & open_i[j] & (before_d[d] == before_i[j]))
+        ds.append(at_d[d[first]])
+        js.append(at_i[j[first]])
+    d, i = np.concatenate(ds), np.concatenate(js)
+    size = _common(sums, d, i, np.minimum(run_d[d], run_i[i]))
+    sure = size >= length
+    return size[sure], d[sure], i[sure]
+
+
+def _pieces(n: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int]]:
+    """Ranges of ``n`` that sum to about ``most``."""
+    cut = np.searchsorted(np.cumsum(n), np.arange(most, int(n.sum()) + most, most), "left") + 1
+    ends = np.unique(np.minimum(np.r_[cut, len(n)], len(n))).tolist()
+    return list(zip([0, *ends[:-1]], ends))
+
+
+def _power(n: np.ndarray | int) -> np.ndarray:
+    """``_BASE`` to the power of each ``n``, modulo 2^64."""
+    n = np.asarray(n, np.int64)
+    out, square = np.ones(n.shape, np.uint64), _BASE
+    with np.errstate(over="ignore"):
+        while (n > 0).any():
+            out = np.where(n & 1, out * square, out)
+            square, n = square * square, n >> 1
     return out
 
 
+def _common(sums: tuple[np.ndarray, np.ndarray], d: np.ndarray, i: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many words from ``d`` and from ``i`` on are equal, ``most`` at most: a binary search over prefix hashes."""
+    low, high = np.zeros(len(d), np.int64), most.astype(np.int64)
+    while (low < high).any():
+        mid = (low + high + 1) // 2
+        scale = _power(mid)
+        same = sums[0][d + mid] - sums[0][d] * scale == sums[1][i + mid] - sums[1][i] * scale
+        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+    return low
+
+
 def blocks(benchmark: DataFrame, item_col: str, text: str, k: int, block_bytes: int):
     """The items in blocks of bounded size, each on the driver only while it is used."""
     items = benchmark.select(F.col(item_col).alias("i"), F.coalesce(text, F.lit("")).alias("t"))
@@ -208,7 +277,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
         def run(batch, s, shared=shared):
             keep = np.ones(len(s), bool)
-            keep[[p[0] for p in shared.value.pairs(s, threshold)]] = False
+            keep[[p[0] for p in shared.value.pairs(s, threshold, first=True)]] = False
             return batch.filter(pa.array(keep))
 
         docs = T.map_slices(docs, run, docs.schema, text)

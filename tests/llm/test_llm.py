@@ -107,12 +107,16 @@ def test_ftrl_finds_marked_words():
     assert (p[good][:, None] > p[~good]).mean() > 0.97 and (w != 0).sum() < 2000
 
 
-def test_positive_unlabelled_fit_and_prior():
-    rng = np.random.default_rng(3)
+def _pu_rows(seed=3, n_good=2000, n_bad=400, n_mixed=1600):
+    rng = np.random.default_rng(seed)
     n = len(quality_pu.FEATURES)
-    good = rng.normal(0, 1, (2000, n))
-    bad = rng.normal(0, 1, (400, n)) + np.r_[4.0, np.zeros(n - 1)]
-    mixed = np.concatenate([rng.normal(0, 1, (1600, n)), bad])
+    good = rng.normal(0, 1, (n_good, n))
+    bad = rng.normal(0, 1, (n_bad, n)) + np.r_[4.0, np.zeros(n - 1)]
+    return good, np.concatenate([rng.normal(0, 1, (n_mixed, n)), bad]), bad
+
+
+def test_positive_unlabelled_fit_and_prior():
+    good, mixed, bad = _pu_rows()
     model = quality_pu.fit_arrays(good, mixed)
     assert 0.7 < model.prior < 0.92
     assert np.median(model.score(bad)) < 0.3 < np.quantile(model.score(good), 0.05)
@@ -120,6 +124,69 @@ def test_positive_unlabelled_fit_and_prior():
     assert (none.score(mixed) == 0.5).all()
 
 
+def _nn_pu_plain(cp, cu, n_weights, prior, steps=3000, rate=0.02):
+    """The same penalised risk by Adam over all rows, row sums written out."""
+    w, m, v = (np.zeros(n_weights + 1) for _ in range(3))
+    w[-1] = np.log(prior / (1 - prior))
+    rows = lambda c: np.concatenate([np.eye(n_weights)[c].sum(1), np.ones((len(c), 1))], 1)
+    xp, xu = rows(cp), rows(cu)
+    best = np.inf
+    for t in range(1, steps + 1):
+        fp, fu = xp @ w, xu @ w
+        rest = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+        value = prior * np.logaddexp(0, -fp).mean() + max(0, rest) + quality_pu.L2 / 2 * (w[:-1] ** 2).sum()
+        best = min(best, value)
+        sig = lambda f: 1 / (1 + np.exp(-f))
+        g = prior * ((sig(fp) - 1) @ xp) / len(xp)
+        if rest > 0:
+            g = g + sig(fu) @ xu / len(xu) - prior * (sig(fp) @ xp) / len(xp)
+        g[:-1] += quality_pu.L2 * w[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+    return best
+
+
+@pytest.mark.parametrize("prior", [0.6, 0.8, 0.9])
+def test_descent_reaches_the_least_risk_of_a_plain_one(prior):
+    good, mixed, _ = _pu_rows(5, 600, 120, 480)             # 0.8 is the share; above it the boundary binds
+    model = quality_pu.fit_arrays(good, mixed, prior)
+    cp, cu = model.codes(good), model.codes(mixed)
+    w = np.append(model.weights, model.bias)
+    value, _ = quality_pu.risk(w, cp, prior, np.logaddexp(0, w[cu].sum(1) + w[-1]).mean())
+    assert value <= _nn_pu_plain(cp, cu, len(model.weights), prior) + 5e-3
+
+
+def test_fit_uses_every_unlabelled_row(spark, monkeypatch):
+    """Edges, prior and risk come from all rows, however few the samples hold."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(30, 90))) if i % 5 else " ".join(["#!# 123"] * rng.randint(5, 40)))
+            for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    good = docs.where("doc_id % 5 <> 0 and doc_id % 2 = 0").select("doc_id")
+    seen = []
+    sums = quality_pu._sums
+    monkeypatch.setattr(quality_pu, "_sums", lambda r, fn, size: seen.append(r.count()) or sums(r, fn, size))
+    whole = quality_pu.fit(docs, good)
+    assert set(seen) == {1500}
+    small = quality_pu.fit(docs, good, max_rows=200)
+    for a, b in zip(whole.edges, small.edges):
+        assert np.array_equal(a, b)                         # the same corpus quantiles
+    assert abs(whole.prior - small.prior) < 0.15 and 0.6 < whole.prior < 0.9
+    bad = [r.score for r in quality_pu.score(docs, whole, "doc_id").where("doc_id % 5 = 0").collect()]
+    fine = [r.score for r in quality_pu.score(docs, whole, "doc_id").where("doc_id % 5 <> 0").collect()]
+    assert np.mean(np.array(bad) < 0.3) > 0.9 and np.mean(np.array(fine) >= 0.3) > 0.97
+
+
+def test_fit_without_rows_or_positives(spark, odd, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int, doc_text string")
+    for docs, labels in ((empty, none), (odd, none), (empty, none.unionByName(none))):
+        model = quality_pu.fit_labelled(docs, labels)
+        assert all(r.score == 0.5 for r in quality_pu.score(docs, model, "doc_id").collect())
+    one = spark.createDataFrame([(9, 1, "t"), (None, 1, "t"), (3, None, "t"), (3, 0, "t")], none.schema)
+    assert quality_pu.score(odd, quality_pu.fit_labelled(odd, one), "doc_id").count() == len(_odd())
+
+
 def test_scoring_odd_rows(odd, empty):
     w = np.zeros(1 << 10, np.float32)
     model = quality_pu.fit_arrays(np.random.default_rng(0).normal(size=(50, 15)), np.random.default_rng(1).normal(size=(50, 15)))

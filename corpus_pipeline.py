@@ -17,14 +17,12 @@ duplicate of anything). An empty table passes as an empty table.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transcript_lake.llm import decontaminate, line_dedup, ngram_join, packing, quality_pu
-from transcript_lake.session import shared_dir
+from transcript_lake.llm.tables import discard, stored
 
 QUALITY_THRESHOLD = 0.3
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
@@ -71,9 +69,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; intermediate tables go to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = stored(docs, "pipeline")
+            if k:
+                discard(before)             # no later stage reads it
     return docs

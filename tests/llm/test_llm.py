@@ -77,6 +77,13 @@ def test_words_and_shingles_match_python():
     assert all(len(v) <= 1 for v in seen.values())
 
 
+def test_words_of_different_bytes_differ():
+    words = [bytes([97, b, 98]).decode("latin-1") for b in range(128) if b not in b" \t\n\x0b\x0c\r"]
+    (s,) = textvec.slices(pa.array([" ".join(words)]))
+    h = s.words(textvec.WORDS)[3]
+    assert len(h) == len(words) and len(set(h.tolist())) == len({w.lower() for w in words})
+
+
 # -- classifiers -------------------------------------------------------------------
 
 @pytest.mark.parametrize("key, folds, held", [("op1_toxicity", 4, 2), ("op4_quality", 5, 0)])
@@ -613,3 +620,49 @@ def test_kept_text_hash(spark):
     rows = QUERIES["op8_line_dedup"](spark, SF).where("n_dropped = 0").limit(1).collect()
     text = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("doc_id") == rows[0].doc_id).first().text
     assert rows[0].kept_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_clashing_columns_are_kept_with_an_underscore(spark):
+    docs = spark.createDataFrame([(1, "a b", "mine", 7, "x"), (2, None, None, None, None)],
+                                 "doc_id long, text string, size string, Shard int, slot_ string")
+    got = {r.doc_id: r for r in sharding.shard(docs, 2).collect()}
+    assert got[1].size_ == "mine" and got[1].Shard_ == 7 and got[1].slot_ == "x" and got[1].size == 4 and got[2].size == 1
+    pages = spark.createDataFrame([(1, "http://a.com/x", None, "mine", 0.5)],
+                                  "page_id long, url string, html string, trust string, host double")
+    (row,) = url_filters.judge(pages).collect()
+    assert row.trust_ == "mine" and row.host_ == 0.5 and row.host == "a.com" and row.verdict == "allow"
+
+
+def test_ftrl_weights_from_tables_match_the_plain_loop(spark):
+    """A plain per-row FTRL over dictionaries, in the same order of rows."""
+    rng = random.Random(16)
+    rows = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 12))), int(rng.random() < 0.4)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    got = toxicity.fit(df, bits=12)
+    order = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    rows.sort(key=lambda r: order[r[0]])
+    feats = []
+    for _, t, y in rows:
+        (s,) = textvec.slices(pa.array([t]))
+        feats.append((np.append(toxicity._distinct_ids(s, 12)[1], toxicity._BIAS), y))
+    want = toxicity.ftrl([f for f, _ in feats], [y for _, y in feats], 12)
+    assert np.allclose(got, want, atol=1e-6) and (got != 0).any()
+
+
+def test_sharding_columns_match_plain_python(spark):
+    docs = spark.createDataFrame([(i, None if i % 7 == 0 else "é" * (i % 11) + "x" * (i % 5)) for i in range(200)],
+                                 "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = sharding.shard(docs, 8).collect()
+    of = defaultdict(list)
+    for r in rows:
+        assert r.size == len((texts[r.doc_id] or "").encode()) + 1
+        of[r.shard].append(r)
+    total = sum(r.size for r in rows)
+    for k in range(8):
+        assert sorted(r.slot for r in of[k]) == list(range(len(of[k])))
+    most = max(r.size for r in rows)
+    below = 0
+    for k in range(7):                                          # each boundary within a row of its share
+        below += sum(r.size for r in of[k])
+        assert abs(below - total * (k + 1) / 8) <= most

@@ -49,7 +49,6 @@ as one document. A null id has no group (null). Other columns are not carried.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -65,6 +64,7 @@ from ..session import shared_dir
 from . import textvec as T
 from .components import components
 from .ship import ship
+from .tables import discard, stored
 
 N, PERCENT = 4, 85
 RARE = 3                    # common rare shingles that make a candidate
@@ -99,11 +99,12 @@ def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return (total[cut[1:]] - total[cut[:-1]]).astype(np.int64)
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+def _stored(df: DataFrame, name: str, made: list[DataFrame] | None = None) -> DataFrame:
+    """``stored``, and noted in ``made`` so that the caller can discard it."""
+    out = stored(df, name)
+    if made is not None:
+        made.append(out)
+    return out
 
 
 def _parity(rows: np.ndarray, x: np.ndarray, n: int) -> list[pa.Array]:
@@ -336,7 +337,7 @@ def _across(index: DataFrame, meets: DataFrame, key: list[str], percent: int, be
 
 
 def group_pairs(shared: DataFrame, groups: DataFrame, parities: DataFrame, percent: int,
-                frequent: int = FREQUENT) -> DataFrame:
+                frequent: int = FREQUENT, made: list[DataFrame] | None = None) -> DataFrame:
     """Candidate pairs between different groups, by single rare and paired frequent shingles."""
     index = _relabel(shared, groups)
     spread = (index.groupBy("token", "g").agg(F.min("size").alias("s")).groupBy("token")
@@ -345,7 +346,7 @@ def group_pairs(shared: DataFrame, groups: DataFrame, parities: DataFrame, perce
     index = (index.join(spread, "token")
              .withColumn("least", F.greatest("least", F.ceil(F.lit(percent) * F.col("size") / F.lit(100))))
              .where(F.col("size") - F.col("at") + RARE >= _needed(percent, "size", "least")))
-    live = _stored(index.join(parities, "id"), "live")
+    live = _stored(index.join(parities, "id"), "live", made)
     # a document's frequent shingles, at most its prefix; all combinations of two
     often = (live.where(F.col("k") > frequent).groupBy("id", "g", "size", *PARITY)
              .agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("ts")))
@@ -356,10 +357,10 @@ def group_pairs(shared: DataFrame, groups: DataFrame, parities: DataFrame, perce
     common = (pairs.groupBy("t1", "t2").agg(F.min("g").alias("g0"), F.max("g").alias("g1"))
               .where("g0 < g1").select("t1", "t2"))
     pairs, two = pairs.join(common, ["t1", "t2"]), ["t1", "t2"]
-    often = _stored(_across(pairs, _meets(pairs, two, percent, RARE - 1), two, percent, RARE - 1), "often")
+    often = _stored(_across(pairs, _meets(pairs, two, percent, RARE - 1), two, percent, RARE - 1), "often", made)
     # rare shingles count where two groups share enough of them, or beside a frequent pair
     single = live.where(F.col("k") <= frequent).withColumn("later", F.col("at"))
-    meets = _stored(_both_ways(_meets(single, ["token"], percent, RARE)), "meets")
+    meets = _stored(_both_ways(_meets(single, ["token"], percent, RARE)), "meets", made)
     enough = (meets.groupBy("ga", "gb").agg(F.count("*").alias("n")).where(F.col("n") >= RARE).select("ga", "gb")
               .union(often.select("ga", "gb")).distinct())
     rare = _across(single, meets.join(enough, ["ga", "gb"]).drop("ga", "gb"), ["token"], percent, RARE)
@@ -380,25 +381,27 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT,
         raise ValueError("prefixes with three rare shingles need a similarity of 0.8 or more")
     shared_dir(docs.sparkSession)               # checkpoints need their folder
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    made: list[DataFrame] = []                  # tables that only the steps up to the groups read
     known = _stored(signatures(rows, n), "sets")
     levels = bucket_classes(known)
     known = known.where("chunk is null").select("id", "size", "a", "b")
 
-    index = _stored(prefixes(rows.where("id is not null"), levels, n, percent), "prefix")
+    index = _stored(prefixes(rows.where("id is not null"), levels, n, percent), "prefix", made)
     whole = index.select("id", "size", *PARITY).dropDuplicates(["id"])
     index = index.select("id", "size", F.posexplode("prefix").alias("at", "token"))
-    shared = _stored(with_hubs(index), "shared")
-    stars = _stored(plausible(star_pairs(shared, percent), whole, percent), "pairs")
-    first = _stored(verified(stars, rows, n, percent), "links")
+    shared = _stored(with_hubs(index), "shared", made)
+    stars = _stored(plausible(star_pairs(shared, percent), whole, percent), "pairs", made)
+    first = _stored(verified(stars, rows, n, percent, made), "links", made)
     groups = components(first)
     others = _stored(group_pairs(shared.select("id", "size", "at", "token"), groups,
-                                 whole.drop("size"), percent, frequent), "pairs")
-    second = verified(others, rows, n, percent)
+                                 whole.drop("size"), percent, frequent, made), "pairs", made)
+    second = verified(others, rows, n, percent, made)
     # now whole groups are vertices
     joins = (second.join(groups.select(F.col("id").alias("x"), F.col("component").alias("gx")), "x", "left")
              .join(groups.select(F.col("id").alias("y"), F.col("component").alias("gy")), "y", "left")
              .select(F.coalesce("gx", "x").alias("x"), F.coalesce("gy", "y").alias("y")))
     merged = components(joins)
+    discard(*made)
     top = merged.select(F.col("id").alias("component"), F.col("component").alias("top"))
     named = (groups.join(top, "component", "left").select("id", F.coalesce("top", "component").alias("c"))
              .union(merged.select("id", "component")).groupBy("id").agg(F.min("c").alias("c")))
@@ -411,8 +414,8 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT,
                       F.when(F.col("id").isNotNull(), F.coalesce("group", "id")).alias("component_id"))
 
 
-def verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int, made: list[DataFrame] | None = None) -> DataFrame:
     """The links among candidate pairs, by the whole shingle sets of their texts."""
     ids = pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "id")
-    sets = _stored(shingle_sets(rows, bit_table(ids), n), "tokens")
+    sets = _stored(shingle_sets(rows, bit_table(ids), n), "tokens", made)
     return verify(pairs, sets, percent)

@@ -120,13 +120,15 @@ def prior_from(good: np.ndarray, cuts: np.ndarray, above: np.ndarray, n: int, le
     A high score is positive for sure, so the mixture has about ``pi`` times
     the positives' share above a threshold; the smallest such ratio (with an
     allowance for sampling error) over all thresholds bounds ``pi``. The allowance
-    is taken off: a prior too high leaves no bad texts to learn from, one a little low does no harm.
+    (a tenth at most) is taken off: a prior too high leaves no bad texts to learn
+    from, one a little low does no harm.
     """
     p = 1 - np.searchsorted(np.sort(good), cuts, side="left") / len(good)
     u = above / n
     slack = np.sqrt(np.log(20) / 2) * (1 / np.sqrt(len(good)) + 1 / np.sqrt(n))
     best = np.argmin((u + slack) / np.maximum(p, 1e-9))
-    return float(np.clip(u[best] / p[best] - slack, least, 1 - 0.01))
+    ratio = u[best] / p[best]
+    return float(np.clip(max(ratio - slack, 0.9 * ratio), least, 1 - 0.01))
 
 
 def class_prior(good: np.ndarray, mixed: np.ndarray, least: float = 0.05) -> float:

@@ -14,7 +14,8 @@ Equal texts have equal hashes and stay together unless a group of them crosses
 a boundary, which then falls between two ids: one hot text cannot unbalance
 the shards. Sizes are UTF-8 bytes of the text plus 1 (null text: 1). A null id
 sorts before all others; identical rows share a shard and get different slots.
-An empty table has no rows in any shard. Other columns pass unchanged.
+An empty table has no rows in any shard. Other columns pass unchanged; one called
+like a result (``size``, ``shard``, ``slot``) gets an underscore. Ids are integers.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
+from .tables import apart
 
 PROBES = 16
 TOLERANCE = 0.0005          # of a shard's bytes
@@ -118,6 +120,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text: str =
     The keys (id, hash, size; no text) are written once to the shared folder,
     so that the rounds of counting read only them.
     """
+    docs = apart(docs, "size", "shard", "slot")
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/shard-keys-{uuid.uuid4().hex}"
     _keyed(docs, id_col, text).select("__h", "__i", "__size").write.parquet(path)

@@ -24,3 +24,17 @@ def discard(*tables: DataFrame) -> None:
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
+
+
+def apart(df: DataFrame, *results: str) -> DataFrame:
+    """``df`` with underscores added to columns that are called like a result (in any case), so both can be returned."""
+    taken = {r.lower() for r in results} | {c.lower() for c in df.columns}
+    names = {}
+    for c in df.columns:
+        if c.lower() in {r.lower() for r in results}:
+            new = c + "_"
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+            names[c] = new
+    return df.withColumnsRenamed(names)

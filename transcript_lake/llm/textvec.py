@@ -34,16 +34,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_T = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_P))
+_T = mix(np.arange(1, 258, dtype=np.uint64) * np.uint64(_P))
 
 
 def byte_table(separators: bytes, lower: bool = True) -> np.ndarray:
-    """256 entries: 0 for a separator, else the byte (A-Z lower-cased if asked)."""
-    t = np.arange(256, dtype=np.uint8)
+    """256 entries: 0 for a separator, else the byte (A-Z lower-cased if asked) plus one."""
+    t = np.arange(1, 257, dtype=np.uint16)
     if lower:
         t[ord("A"):ord("Z") + 1] += 32
     t[list(separators)] = 0
-    t[0] = 0 if 0 in separators else 1      # NUL shares the code of \x01
     return t
 
 

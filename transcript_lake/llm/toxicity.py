@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as T
-from .ship import ship
 
 BITS = 20
 MAX_ROWS = 20_000
@@ -85,21 +84,25 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
     total = rows.count()
     if total > max_rows:
         rows = rows.where(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * max_rows / total))
-    rows = rows.select(F.lit(0).alias("sample"), "h", "text", "y")
+    def coordinates(batch: pa.RecordBatch, s: T.Slice) -> pa.RecordBatch:
+        r, ids = _distinct_ids(s, bits)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.zeros(len(s), np.int32)), batch.column(0), batch.column(1),
+             T.lists(r, ids.astype(np.int32), len(s), pa.int32())], names=["sample", "h", "y", "ids"])
+
+    # texts become coordinates where they are; only those go to the trainer
+    rows = T.map_slices(rows.select("h", "y", "text"), coordinates, "sample int, h long, y int, ids array<int>")
 
     def train(group: pa.Table) -> pa.Table:
         h, y = group.column("h").to_numpy(), group.column("y").to_numpy()
-        feats = []
-        for s in T.slices(group.column("text")):
-            r, ids = _distinct_ids(s, bits)
-            off = np.searchsorted(r, np.arange(len(s) + 1))
-            feats += [np.append(ids[a:b], _BIAS).astype(np.int32) for a, b in zip(off[:-1], off[1:])]
+        ids = group.column("ids").combine_chunks()
+        off, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+        feats = [np.append(flat[a:b], _BIAS).astype(np.int32) for a, b in zip(off[:-1], off[1:])]
         order = np.lexsort((y, h))
         w = ftrl([feats[i] for i in order], [int(y[i]) for i in order], bits)
         nz = np.flatnonzero(w)
         return pa.table({"i": nz, "w": w[nz]})
 
-    ship(labelled.sparkSession)
     got = rows.groupBy("sample").applyInArrow(train, "i long, w double").toPandas()
     out = np.zeros(1 << bits, np.float32)
     out[got["i"].to_numpy()] = got["w"].to_numpy()

@@ -20,7 +20,8 @@ task; the rank tables have one row per host, and each round is written through
 
 Null urls or urls without ``://`` have an empty host and path, match no rule
 and, having no place in the graph, are allowed at the default threshold 0.
-Repeated rows are judged alike. Null html has no links. Other columns pass.
+Repeated rows are judged alike. Null html has no links. Other columns pass; one
+called like a result (host, path, rule, trust, distrust, verdict) gets an underscore.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
+from .tables import apart
 
 #: Fixed values: (verdict, host and path prefix).
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
@@ -65,7 +67,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     links = F.regexp_extract_all(F.col("html"), F.lit(r"""(?:href|src)\s*=\s*["']?(?:[A-Za-z]+:)?//([^"'\s>/?#]+)"""), 1)
     linked = (pages.select(F.col("host").alias("src"), F.explode(links).alias("dst"))
               .withColumn("dst", F.translate("dst", UPPER, LOWER))
-              .groupBy("src", "dst").agg(F.count("*").alias("n")))
+              .groupBy("src", "dst").agg(F.count("*").alias("n")).checkpoint())    # the pages' html is searched once
     hosts = pages.select("host").union(linked.select("dst")).where("host <> ''").distinct()
     # a.b.c -> a.b.c, b.c, c; each links to the next
     labels = F.split("host", r"\.")
@@ -105,6 +107,7 @@ def page_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS,
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
     """``pages`` (page_id, url, html, ...) with host, path, rule, trust, distrust and verdict."""
     shared_dir(pages.sparkSession)              # checkpoints need their folder
+    pages = apart(pages, "host", "path", "rule", "trust", "distrust", "verdict")
     host, path = split_url(F.col("url"))
     rows = pages.withColumns({"host": host, "path": path})
     rule, says = rule_for(F.col("host"), F.col("path"), rules)
@@ -119,6 +122,6 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, rounds: i
     scores = trust.join(distrust, "host", "full").select(
         F.col("host").alias("__host"), F.coalesce("trust", F.lit(0.0)).alias("trust"),
         F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-    joined = rows.drop("trust", "distrust").join(scores, F.col("host") == F.col("__host"), "left")
+    joined = rows.join(scores, F.col("host") == F.col("__host"), "left")
     graph = F.when(F.coalesce(F.col("trust") - F.col("distrust"), F.lit(0.0)) >= threshold, "allow").otherwise("block")
     return joined.withColumn("verdict", F.coalesce("__says", graph)).drop("__says", "__host")

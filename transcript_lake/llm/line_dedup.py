@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import discard, stored
 
 WHITE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -75,8 +75,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with the text's surviving lines, and ``n_lines`` and ``n_dropped``."""
     lines = stored(long_lines(docs, id_col, text, min_chars), "lines")
-    drops = (lines.join(frequent_keys(lines, min_docs), ["a", "b"]).where(F.col("id") < F.col("keep"))
-             .groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list("pos").alias("__drop")))
+    drops = stored(lines.join(frequent_keys(lines, min_docs), ["a", "b"]).where(F.col("id") < F.col("keep"))
+                   .groupBy(F.col("id").alias("__id"), F.col("th").alias("__th"))
+                   .agg(F.collect_list("pos").alias("__drop")), "drops")
+    discard(lines)
     joined = docs.join(drops, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text) == F.col("__th")), "left")
     every = F.sequence(F.lit(0), F.size("__lines") - 1)
     left = F.transform(F.array_except(every, "__drop"), lambda i: F.get("__lines", i))      # by hashing: linear

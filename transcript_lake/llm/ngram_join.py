@@ -299,15 +299,17 @@ def _relabel(shared: DataFrame, groups: DataFrame) -> DataFrame:
 def _meets(index: DataFrame, key: list[str], percent: int, before: int) -> DataFrame:
     """(key, gx, gy): pairs of groups with a common key whose rows can fit, from one row for each group.
 
-    ``gy`` is the one with fewer rows of that key.
+    ``gy`` is the one with fewer rows of that key. Where both have one, its parity is looked at too.
     """
-    side = lambda v: {"g": f"g{v}", "s": f"s{v}", "n": f"n{v}", "m": f"m{v}", "c": f"c{v}"}
+    side = lambda v: {c: f"{c}{v}" for c in ("g", "s", "n", "m", "c", *PARITY)}
     groups = index.groupBy(*key, "g").agg(F.min("size").alias("s"), F.max(F.col("size") - F.col("at")).alias("n"),
-                                          F.max(F.col("size") - F.col("later")).alias("m"), F.count("*").alias("c"))
+                                          F.max(F.col("size") - F.col("later")).alias("m"), F.count("*").alias("c"),
+                                          *[F.min(b).alias(b) for b in PARITY])
     a, b = (groups.withColumnsRenamed(side(v)) for v in "xy")
     need = _needed(percent)
     fits = (F.struct("cx", "gx") > F.struct("cy", "gy")) & (F.least("nx", "ny") + before >= need)
-    return a.join(b, key).where(fits & (F.least("mx", "my") + RARE >= need)).select(*key, "gx", "gy")
+    fits = fits & (F.least("mx", "my") + RARE >= need) & ((F.col("cx") > 1) | _alike(percent))
+    return a.join(b, key).where(fits).select(*key, "gx", "gy")
 
 
 def _both_ways(df: DataFrame) -> DataFrame:
@@ -390,9 +392,10 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT,
     whole = index.select("id", "size", *PARITY).dropDuplicates(["id"])
     index = index.select("id", "size", F.posexplode("prefix").alias("at", "token"))
     shared = _stored(with_hubs(index), "shared", made)
-    stars = _stored(plausible(star_pairs(shared, percent), whole, percent), "pairs", made)
-    first = _stored(verified(stars, rows, n, percent, made), "links", made)
-    groups = components(first)
+    stars: list[DataFrame] = []
+    pairs = _stored(plausible(star_pairs(shared, percent), whole, percent), "pairs", stars)
+    groups = components(_stored(verified(pairs, rows, n, percent, stars), "links", stars))
+    discard(*stars)
     others = _stored(group_pairs(shared.select("id", "size", "at", "token"), groups,
                                  whole.drop("size"), percent, frequent, made), "pairs", made)
     second = verified(others, rows, n, percent, made)

@@ -18,12 +18,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete the files of ``stored`` tables that no later step reads."""
+    """Delete the files of ``stored`` tables that no later step reads.
+
+    Shuffle files of the steps that made them go when the driver collects its
+    garbage, so it is asked to.
+    """
     for df in tables:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def apart(df: DataFrame, *results: str) -> DataFrame:

@@ -575,6 +575,18 @@ def test_shards(spark, odd, empty, part_bytes):
     assert sharding.shard(empty).count() == 0
 
 
+def test_small_parts_add_no_cuts_and_keep_every_row(spark, monkeypatch):
+    rows = [(i, "hot text" * 9 if i % 3 == 0 else f"text {i}") for i in range(1200)] + [(None, "hot text" * 9)] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("Shard.of", F.lit(1))
+    asked, plain = [], sharding.splitters
+    monkeypatch.setattr(sharding, "splitters", lambda keys, shares, *a: asked.append(len(shares)) or plain(keys, shares, *a))
+    big, small = (sharding.shard(docs, 4, part_bytes=b).collect() for b in (1 << 26, 200))
+    assert asked == [3, 3]                          # hundreds of parts, the same three boundaries
+    assert Counter((r.doc_id, r.text, r.shard) for r in big) == Counter((r.doc_id, r.text, r.shard) for r in small)
+    for s in range(4):
+        assert sorted(r.slot for r in small if r.shard == s) == list(range(sum(r.shard == s for r in small)))
+
+
 # -- urls -------------------------------------------------------------------------------------
 
 def test_url_rules_and_graph(spark):

@@ -6,9 +6,11 @@ counts the exact bytes below every candidate over all partitions in one
 aggregation, and narrows each boundary to the candidate interval that holds
 its target, until the bytes below a candidate are within ``tolerance`` of the
 target or no key lies between (a single row or identical rows straddle it).
-Only then are the rows exchanged, once, by (shard, part of the shard); slots
-are numbered inside the parts and offset by the parts' row counts, so no task
-has to hold a shard.
+Only then are the rows exchanged, once, by (shard, part of the shard). Parts are
+equal slices of the hash range, as many as the bytes ask for, found by arithmetic
+on the hash; a slice that a hot text overfills is dealt on by a hash of the ids.
+Only the boundaries between shards go through the driver. Slots are numbered
+inside the parts and offset by the parts' row counts, so no task has to hold a shard.
 
 Equal texts have equal hashes and stay together unless a group of them crosses
 a boundary, which then falls between two ids: one hot text cannot unbalance
@@ -32,6 +34,7 @@ from .tables import apart
 PROBES = 16
 TOLERANCE = 0.0005          # of a shard's bytes
 PART_BYTES = 64 << 20        # of text, for one task after the exchange
+MOST_SPLIT = 8192           # slices of the hash range that may be dealt on by id
 _LOW, _TOP = -(1 << 63), (1 << 63) - 1
 
 
@@ -115,7 +118,7 @@ def splitters(keys: DataFrame, shares: list[float], tolerance: float = TOLERANCE
 
 def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text: str = "text",
           tolerance: float = TOLERANCE, part_bytes: int = PART_BYTES) -> DataFrame:
-    """``docs`` with ``size``, ``shard`` and ``slot``: shards of near-equal bytes, sorted by key.
+    """``docs`` with ``size``, ``shard`` and ``slot``: shards of near-equal bytes, numbered part by part.
 
     The keys (id, hash, size; no text) are written once to the shared folder,
     so that the rounds of counting read only them.
@@ -125,28 +128,43 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text: str =
     path = f"{shared_dir(spark)}/shard-keys-{uuid.uuid4().hex}"
     _keyed(docs, id_col, text).select("__h", "__i", "__size").write.parquet(path)
     keys = spark.read.parquet(path)
-    total = keys.agg(F.sum("__size")).first()[0] or 0
-    per = max(1, ceil(total / shards / part_bytes))       # parts of a shard
     cuts = splitters(keys, [k / shards for k in range(1, shards)], tolerance)
-    inner: list[tuple[int, int]] = []
-    if per > 1:                                           # rough cuts inside the shards: any will do
-        inner = splitters(keys, [k / (shards * per) for k in range(1, shards * per) if k % per], 0.2)
-    return number(docs, cuts, inner, id_col, text, keys)
-
-
-def number(docs: DataFrame, cuts: list[tuple[int, int]], inner: list[tuple[int, int]],
-           id_col: str, text: str, keys: DataFrame) -> DataFrame:
-    """Exchange once by (shard, part) and number the rows of each shard without gaps."""
-    parts = sorted(set(inner))
-    place = [_bucket(cuts).alias("shard"), _bucket(parts).alias("__part")]
-    counts = keys.groupBy(*place).agg(F.count("*").alias("__n"))     # shards x parts rows
+    return number(docs, cuts, id_col, text, keys, part_bytes)
+
+
+def _slice(bits: int) -> Column:
+    """The row's place by the leading ``bits`` of its hash, in the hash's signed order."""
+    if not bits:
+        return F.lit(0).cast("long")
+    return F.shiftrightunsigned(F.col("__h").bitwiseXOR(F.lit(_LOW)), 64 - bits)
+
+
+def number(docs: DataFrame, cuts: list[tuple[int, int]], id_col: str, text: str, keys: DataFrame,
+           part_bytes: int = PART_BYTES) -> DataFrame:
+    """Exchange once by (shard, part) and number the rows of each shard without gaps.
+
+    A part is a slice of the hash range; a slice that a hot text overfills is dealt on by a hash of the ids.
+    """
+    total = keys.agg(F.sum("__size")).first()[0] or 0
+    bits = max(0, ceil(total / part_bytes) - 1).bit_length()
+    limit = max(4 * part_bytes, total // MOST_SPLIT)
+    place = {"shard": _bucket(cuts), "__slice": _slice(bits)}
+    split = (keys.groupBy(*[c.alias(n) for n, c in place.items()]).agg(F.sum("__size").alias("__b"))
+             .where(F.col("__b") > limit)                 # fewer than MOST_SPLIT rows, whatever the input
+             .select("shard", "__slice", F.ceil(F.col("__b") / part_bytes).cast("long").alias("__split")))
+    part = F.coalesce(F.pmod(F.xxhash64("__i"), F.col("__split")), F.lit(0).cast("long"))
+    placed = lambda rows: (rows.withColumns(place).join(F.broadcast(split), ["shard", "__slice"], "left")
+                           .withColumn("__part", part).drop("__split"))
+    counts = placed(keys).groupBy("shard", "__slice", "__part").agg(F.count("*").alias("__n"))
     first = counts.withColumn("__first", F.sum("__n").over(
-        Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
-    rows = _keyed(docs, id_col, text).withColumns({"shard": place[0], "__part": place[1]})
-    order = Window.partitionBy("shard", "__part").orderBy("__h", "__i", "__size")
-    rows = rows.withColumn("__at", F.row_number().over(order) - 1)
-    start = first.select(F.col("shard").alias("__s"), F.col("__part").alias("__q"), "__first")
-    out = rows.join(start, (F.col("shard") == F.col("__s")) & (F.col("__part") == F.col("__q")))
-    return (out.withColumn("slot", (F.col("__at") + F.coalesce(F.col("__first"), F.lit(0))).cast("long"))
-            .withColumn("shard", F.col("shard").cast("int")).withColumn("size", F.col("__size"))
-            .drop("__h", "__i", "__size", "__part", "__at", "__s", "__q", "__first"))
+        Window.partitionBy("shard").orderBy("__slice", "__part").rowsBetween(Window.unboundedPreceding, -1)))
+    order = Window.partitionBy("shard", "__slice", "__part").orderBy("__h", "__i", "__size")
+    rows = placed(_keyed(docs, id_col, text)).withColumn("__at", F.row_number().over(order) - 1)
+    out = rows.join(first.drop("__n"), ["shard", "__slice", "__part"])
+    slot = (F.col("__at") + F.coalesce(F.col("__first"), F.lit(0))).cast("long")
+    return out.select(*[F.col(_quoted(c)) for c in docs.columns], F.col("__size").alias("size"),
+                      F.col("shard").cast("int").alias("shard"), slot.alias("slot"))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

@@ -356,9 +356,7 @@ def group_pairs(shared: DataFrame, groups: DataFrame, parities: DataFrame, perce
              .select("id", "g", "size", *PARITY, "a", F.explode(F.slice("ts", F.col("i") + 2, F.size("ts"))).alias("b"))
              .select("id", "g", "size", *PARITY, F.col("a.token").alias("t1"), F.col("b.token").alias("t2"),
                      F.col("a.at").alias("at"), F.col("b.at").alias("later")))
-    common = (pairs.groupBy("t1", "t2").agg(F.min("g").alias("g0"), F.max("g").alias("g1"))
-              .where("g0 < g1").select("t1", "t2"))
-    pairs, two = pairs.join(common, ["t1", "t2"]), ["t1", "t2"]
+    two = ["t1", "t2"]          # pairs that one group alone holds meet nothing
     often = _stored(_across(pairs, _meets(pairs, two, percent, RARE - 1), two, percent, RARE - 1), "often", made)
     # rare shingles count where two groups share enough of them, or beside a frequent pair
     single = live.where(F.col("k") <= frequent).withColumn("later", F.col("at"))
